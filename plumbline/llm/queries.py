@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import fingerprint, langid, mixing, packing, pii, toxicity, urlfilter
+from plumbline.llm import fingerprint, jaccard, langid, lmscore, mixing, packing, pii, toxicity, urlfilter
 
 QUERIES = {
     "op1_urlfilter": urlfilter.op1_urlfilter,
@@ -12,5 +12,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_fingerprint": fingerprint.op7_fingerprint,
     "op8_langid": langid.op8_langid,
+    "op9_lmscore": lmscore.op9_lmscore,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 SQL: dict[str, str] = {}
