@@ -4,10 +4,9 @@ The join skips by set relations. Sets that are equal stand for one another from
 ordered by how many distinct sets of the corpus hold them, rarest first, and each set is listed under the
 shingles of its prefix only: two sets that reach the threshold share one there. A list is cut in blocks
 by set size, and the position of a shingle in a set bounds the overlap still possible, so whole blocks
-and most of a list are skipped. In a block, one leader is compared first and its answers serve the
-others: what is linked to the leader is linked to all that the leader is linked to, and only sets that
-the leader leaves in different groups are compared with each other, unless their distances from the
-leader already rule a link out.
+and most of a list are skipped. In a block, a leader is compared first and its answers serve the
+others: what is linked to the leader is joined to all that the leader is joined to, and only sets that
+the leaders leave in different components are compared further.
 """
 
 from __future__ import annotations
@@ -102,75 +101,134 @@ def _reaches(nx: Column, ny: Column, overlap: Column) -> Column:
     return overlap * (TOP + BOTTOM) >= (nx + ny) * TOP
 
 
-def _may_link() -> Column:
-    """Of rows x.* and y.* in one block: sizes and positions leave a link possible."""
-    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    sizes = (F.least("x.n", "y.n") * BOTTOM) >= (F.greatest("x.n", "y.n") * TOP)
-    return sizes & _reaches(F.col("x.n"), F.col("y.n"), room)
+def _may_link(nx: Column, px: Column, ny: Column, py: Column) -> Column:
+    """Sizes, and the places of a shared shingle, leave a link of two sets in one block possible."""
+    sizes = (F.least(nx, ny) * BOTTOM) >= (F.greatest(nx, ny) * TOP)
+    return sizes & _reaches(nx, ny, F.least(nx - px, ny - py))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, overlap) of distinct pairs (a, b) of signatures; a may be as frequent as it likes."""
+def _linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of distinct pairs (a, b) of signatures that link; a may be as frequent as it likes."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            overlap = []
+            keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
                 left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.searchsorted(left, right)
-                overlap.append(int((left[np.minimum(at, len(left) - 1)] == right).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(overlap, pa.int64())], names=["a", "b", "na", "nb", "overlap"])
-
-    side = lambda s: sets.select(F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("shingles").alias(f"s{s}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "sa", "sb")
-    return both.mapInArrow(shared, "a string, b string, na long, nb long, overlap long")
+                overlap = int((left[np.minimum(at, len(left) - 1)] == right).sum())
+                keep.append(overlap * (TOP + BOTTOM) >= (len(left) + len(right)) * TOP)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda s: sets.select(F.col("sig").alias(s), F.col("shingles").alias(f"s{s}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
+    return both.mapInArrow(shared, "a string, b string")
+
+
+#: Sets and shingles of a unit of the second round, on the side of the queries; the other side may be twice as large.
+UNIT_SETS, UNIT_SHINGLES = 256, 200_000
+_SLAB = 2048
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set, by products of slabs of the shared shingles."""
+    flat = [np.concatenate(side) for side in (left, right)]
+    owner = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    both = np.intersect1d(*flat)
+    at = [np.searchsorted(both, f) for f in flat]
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not len(both):
+        return out
+    inside = [both[np.minimum(a, len(both) - 1)] == f for a, f in zip(at, flat)]
+    at, owner = ([x[ok] for x, ok in zip(side, inside)] for side in (at, owner))
+    for low in range(0, len(both), _SLAB):
+        slab = []
+        for a, o, sets in zip(at, owner, (left, right)):
+            m = np.zeros((len(sets), min(_SLAB, len(both) - low)), np.float32)
+            ok = (a >= low) & (a < low + _SLAB)
+            m[o[ok], a[ok] - low] = 1
+            slab.append(m)
+        out += (slab[0] @ slab[1].T).astype(np.int64)
+    return out
 
 
-def _links(compared: DataFrame) -> DataFrame:
-    return compared.where(_reaches(F.col("na"), F.col("nb"), F.col("overlap"))).select("a", "b")
+def _joins(rows: pa.Table) -> pa.Table:
+    """Links of a unit that join different components, as few as join the same ones: (a, b) of components."""
+    query = rows.column("is_query").to_numpy()
+    group = np.asarray(rows.column("component").to_pylist(), dtype=object)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]
+    q, m = np.flatnonzero(query), np.flatnonzero(~query)
+    if not len(q) or not len(m):
+        return pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string())})
+    size = np.asarray([len(s) for s in sets])
+    linked = _overlaps([sets[i] for i in q], [sets[i] for i in m]) * (TOP + BOTTOM) >= (size[q][:, None] + size[m]) * TOP
+    linked &= group[q][:, None] != group[m]
+    found = {tuple(sorted((group[q[i]], group[m[j]]))) for i, j in zip(*np.nonzero(linked))}
+    lead: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while (up := lead.get(x, x)) != x:
+            lead[x] = lead.get(up, up)
+            x = up
+        return x
+
+    forest = []
+    for a, b in sorted(found):
+        if (x := root(a)) != (y := root(b)):
+            lead[max(x, y)] = min(x, y)
+            forest.append((a, b))
+    return pa.table({"a": pa.array([a for a, _ in forest], pa.string()), "b": pa.array([b for _, b in forest], pa.string())})
+
+
+def _second_round(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of components inside the clusters of `members` (sig, n, cluster, component).
+
+    In each cluster, the sets outside its largest component are queries against all its sets. Both sides
+    are dealt by a hash into units of bounded size, so a large cluster is many units in many tasks, and a
+    unit returns at most a link for each component it sees.
+    """
+    parts = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    main = parts.groupBy("cluster").agg(F.max(F.struct("c", "component", "s")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    main = main.where("top.c < c AND c > 2").select(  # of two sets, one is the other's leader and the first round has compared them
+        "cluster",
+        F.col("top.component").alias("main"),
+        F.greatest(F.ceil((F.col("c") - F.col("top.c")) / UNIT_SETS), F.ceil((F.col("s") - F.col("top.s")) / UNIT_SHINGLES)).alias("q_units"),
+        F.greatest(F.ceil(F.col("c") / (2 * UNIT_SETS)), F.ceil(F.col("s") / (2 * UNIT_SHINGLES))).alias("m_units"),
+    )
+    rows = members.join(main, "cluster").join(sets.select("sig", "shingles"), "sig")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n, salt: F.pmod(F.xxhash64("sig", F.lit(salt)), F.col(n))
+    asked = rows.where("component <> main").select("cluster", "component", "shingles", F.lit(True).alias("is_query"), dealt("q_units", "q").alias("q"), up_to("m_units").alias("m"))
+    held = rows.select("cluster", "component", "shingles", F.lit(False).alias("is_query"), dealt("m_units", "m").alias("m"), up_to("q_units").alias("q"))
+    return asked.unionByName(held).groupBy("cluster", "q", "m").applyInArrow(_joins, "a string, b string").distinct()
 
 
 def link_sets(sets: DataFrame) -> DataFrame:
     """(node, component) of the signatures that link with another, from (sig, n, tokens, places, shingles).
 
-    No block gives all its pairs: a first round compares each set with one leader of one of its blocks;
-    a second one compares, in each block, the sets that are not in the group of most sets there.
+    No block gives all its pairs. A first round compares each set with one leader of its blocks, the set
+    with the most shared shingles in its prefix, which in a family of near copies is the one with the
+    fewest edits. A second round compares what the first leaves in different components, inside the
+    clusters of sets that blocks hold together.
     """
     sets = sets.dropDuplicates(["sig"])
-    listed = sets.select("sig", "n", F.explode(F.arrays_zip("tokens", "places")).alias("p"))
+    listed = sets.select("sig", "n", F.size("tokens").alias("k"), F.explode(F.arrays_zip("tokens", "places")).alias("p"))
     level = F.floor(F.log(_BLOCK, F.col("n").cast("double"))).cast("int")
-    listed = listed.select("sig", "n", F.col("p.tokens").alias("token"), F.col("p.places").alias("place"), F.explode(F.array(level, level + 1)).alias("block"))
-    blocks = listed.groupBy("token", "block").agg(F.min_by(F.struct("sig", "n", "place"), "sig").alias("leader"), F.count(F.lit(1)).alias("_members")).where("_members > 1").drop("_members")
-    # rows that stand with others, with the leader of their block
-    shared = checkpointed(listed.join(blocks, ["token", "block"]).select("token", "block", "sig", "n", "place", "leader"))
-
-    to_leader = shared.where("sig <> leader.sig").select(F.struct("n", "place").alias("x"), F.struct("leader.n", "leader.place").alias("y"), "sig", F.col("leader.sig").alias("a"))
-    first = checkpointed(to_leader.where(_may_link()).groupBy("sig").agg(F.min("a").alias("a")).withColumnRenamed("sig", "b"))
-    seen = checkpointed(_compared(first, sets))
-    groups = components(_links(seen))
-
-    # the second round: rows outside their leader's group, against the rows of other groups in the block
-    label = groups.select(F.col("node").alias("sig"), "component")
-    apart = F.col("na") + F.col("nb") - 2 * F.col("overlap")
-    # distance to the leader that each set was compared with, for what follows from it
-    away = seen.select(F.col("b").alias("sig"), F.col("a").alias("via"), apart.alias("away"))
-    rows = shared.select("token", "block", "sig", "n", "place", F.col("leader.sig").alias("lead"))
-    rows = rows.join(label, "sig", "left").join(away, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    rows = checkpointed(rows)
-    spread = rows.groupBy("token", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("sig") == F.col("lead"), F.col("component"))).alias("main")).where("low <> high").drop("low", "high")
-    rows = rows.join(spread, ["token", "block"])
-    x, y = rows.where("component <> main").alias("x"), rows.alias("y")
-    # by the triangle inequality from a set that both were compared with
-    near = F.when(F.col("x.via") == F.col("y.via"), F.abs(F.col("x.away") - F.col("y.away")) * (TOP + BOTTOM) <= (F.col("x.n") + F.col("y.n")) * (BOTTOM - TOP)).otherwise(F.lit(True))
-    meet = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.component") != F.col("y.component")))
-    pairs = meet.where(_may_link() & near).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
-    pairs = checkpointed(pairs.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if pairs.isEmpty():
-        return groups
-    more = checkpointed(_links(_compared(pairs, sets)))
+    listed = listed.select("sig", "n", "k", F.col("p.tokens").alias("token"), F.col("p.places").alias("place"), F.explode(F.array(level, level + 1)).alias("block"))
+    blocks = listed.groupBy("token", "block").agg(F.max(F.struct("k", "sig", "n", "place")).alias("leader"), F.count(F.lit(1)).alias("_members")).where("_members > 1").drop("_members")
+    led = listed.join(blocks, ["token", "block"]).where("sig <> leader.sig")
+    may = _may_link(F.col("n"), F.col("place"), F.col("leader.n"), F.col("leader.place"))
+    edges = checkpointed(led.groupBy(F.col("sig").alias("b"), F.col("leader.sig").alias("a")).agg(F.max("leader.k").alias("k"), F.max(may).alias("may")))
+    first = edges.where("may").groupBy("b").agg(F.max(F.struct("k", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    links = checkpointed(_linked_pairs(first, sets))
+    groups = components(links)
+    clusters = components(edges).withColumnRenamed("component", "cluster")
+    members = clusters.join(groups, "node", "left").select(F.col("node").alias("sig"), "cluster", F.coalesce("component", "node").alias("component"))
+    members = checkpointed(members.join(sets.select("sig", "n"), "sig"))
+    more = checkpointed(_second_round(members, sets))
     if more.isEmpty():
         return groups
-    return components(_links(seen).unionByName(more))
+    return components(links.unionByName(more))
 
 
 def linked_groups(docs: DataFrame) -> DataFrame:
