@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes of a chunk and of a hash partition; bytes that words are hashed in at a time.
-CHUNK_BYTES, PART_BYTES, BLOCK_BYTES = 8 << 20, 8 << 20, 1 << 20
+CHUNK_BYTES, PART_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20, 1 << 20
 #: Bits of a hash that leaves its chunk.
 BITS = 56
 
