@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, in order, of up to `most` bytes in its column number `text`, or of one row."""
+    length = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(text)])
+    low = 0
+    while low < batch.num_rows:
+        room = most + (int(length[low - 1]) if low else 0)
+        high = max(low + 1, int(np.searchsorted(length, room, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id's decimal text, modulo 3; fold 1 is held out of every fit."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3

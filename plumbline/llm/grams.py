@@ -44,36 +44,51 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_powers_of: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers modulo 2**64; those for one block are kept."""
+    if len(out := _powers_of.get(base, _powers_of.setdefault(base, np.ones(1, np.uint64)))) < n:
+        out = np.full(max(n, BLOCK_BYTES), base, np.uint64)
+        out[0] = 1
+        out = np.multiply.accumulate(out)
+        if n <= 2 * BLOCK_BYTES:
+            _powers_of[base] = out
+    return out[:n]
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in order, and where each text's words begin (one more entry than texts).
+def word_spans(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes in a row; hash, begin and end there of every word; where each text's words begin (an entry more).
 
-    Words are runs of bytes other than blank and 0x09-0x0D, with A-Z lower-cased.
+    Words are runs of bytes other than blank and 0x09-0x0D; their hashes take A-Z for a-z.
     """
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
     data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
-    found, starts, low = [], [], 0
+    found, starts, ends, low = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     while low < len(data):
         high = min(len(data), low + BLOCK_BYTES)
         while high < len(data) and not _SPACE[data[high - 1]]:  # cut after white space
             more = np.flatnonzero(_SPACE[data[high : high + BLOCK_BYTES]])
             high = min(len(data), high + (int(more[0]) + 1 if len(more) else BLOCK_BYTES))
         block = data[low:high]
-        edge = np.flatnonzero(np.diff(_SPACE[block].astype(np.int8), prepend=1, append=1))
+        edge = np.flatnonzero(np.diff(_SPACE[block].view(np.int8), prepend=np.int8(1), append=np.int8(1)))
         first, last = edge[::2], edge[1::2]  # word k is block[first[k] : last[k]]
         total = np.zeros(len(block) + 1, np.uint64)
         np.cumsum(_VALUE[block] * _powers(_BASE, len(block)), out=total[1:])
         found.append(mixed((total[last] - total[first]) * _powers(_INVERSE, len(block))[first]))
         starts.append(first + low)
+        ends.append(last + low)
         low = high
-    words, at = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((found, np.uint64), (starts, np.int64)))
-    return words, np.searchsorted(at, begins)
+    at = np.concatenate(starts)
+    return data, np.concatenate(found), at, np.concatenate(ends), np.searchsorted(at, begins)
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in order, and where each text's words begin (one more entry than texts)."""
+    _, words, _, _, begins = word_spans(texts)
+    return words, begins
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -141,12 +156,16 @@ def decode_keys(data: bytes) -> np.ndarray:
 
 
 def encode_counts(counts: np.ndarray) -> bytes:
-    kind = np.min_scalar_type(int(counts.max()) if len(counts) else 0)
-    return bytes([kind.itemsize]) + counts.astype(f"<u{kind.itemsize}").tobytes()
+    """A byte each; 255 stands for a larger count, which follows after all in eight bytes."""
+    large = counts[counts >= 255].astype("<u8")
+    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes()
 
 
 def decode_counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(data[:8], "little")
+    out = np.frombuffer(data, np.uint8, n, offset=8).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u8", offset=8 + n)
+    return out
 
 
 def check_totals(hashes: int, totals: np.ndarray) -> None:

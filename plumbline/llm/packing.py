@@ -10,6 +10,8 @@ fewest windows that can hold the ids and rises while a window exceeds the capaci
 from __future__ import annotations
 
 import heapq
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import slices, table
+from plumbline.llm.grams import word_spans
 
 CAPACITY = 4096
 #: Ids of the longest piece that is packed with others; a longer rest is cut into pieces of this length.
@@ -28,8 +31,10 @@ GROUP_ROWS = 1024
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 
-#: A worker that keeps the ids of more distinct words than this starts afresh.
-_KEPT_WORDS = 300_000
+#: Text bytes that are encoded together.
+ENCODE_BYTES = 4 << 20
+#: A worker that has kept the ids of more distinct words than this starts afresh (about 40 bytes a word).
+_KEPT_WORDS = 3_000_000
 
 
 def _vocabulary_path() -> str:
@@ -39,11 +44,12 @@ def _vocabulary_path() -> str:
 
 
 class Encoder:
-    """Ids of texts as bytes (little-endian unsigned 32-bit), the same as the tokenizer's own.
+    """Ids of texts, the same as the tokenizer's own.
 
-    The vocabulary drops white space and never joins over it, so a text is encoded word by word, with
-    the ids of words seen before looked up. That holds for texts of common Latin characters; any other
-    text, and one that may hold a special token, goes through the tokenizer whole.
+    The vocabulary drops white space and never joins over it, so texts are encoded word by word: words
+    are found and hashed for many texts at once, and only words not seen before go to the tokenizer.
+    That holds for texts of common Latin characters; any other text, and one that may hold a special
+    token, goes through the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,31 +57,69 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.odd = re.compile(r"<\||[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
         self.unusual = regex.compile(r"<\||[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧]")
-
-    def _learn(self, words: set[str]) -> None:
-        new = list(words)
-        for at in range(0, len(new), 20_000):  # one text of all the words; its ids are told apart by where they begin
-            part = new[at : at + 20_000]
-            encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.asarray(encoded.ids, dtype="<u4").tobytes()
-            begins = np.cumsum([0, *(len(w) + 1 for w in part)])
-            first = np.searchsorted(np.asarray([a for a, _ in encoded.offsets], dtype=np.int64), begins).tolist()
-            for w, a, b in zip(part, first, first[1:]):
-                self.words[w] = ids[4 * a : 4 * b]
-
-    def encode(self, text: str) -> bytes:
-        import unicodedata
-
-        if self.unusual.search(text) or not unicodedata.is_normalized("NFC", text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = text.lower().split()
+        self._forget()
+
+    def _forget(self) -> None:
+        """No word kept: hashes ascending, each word's first place and number of ids in `ids`."""
+        self.words, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Keeps the ids of new words, given by ascending hash."""
+        first, count, ids = [], [], [self.ids]
+        place = len(self.ids)
+        for at in range(0, len(words), 20_000):  # one text of many words; its ids are told apart by where they begin
+            text = b" ".join(words[at : at + 20_000]).decode("utf-8", "surrogatepass")
+            encoded = self.tokenizer.encode(text, add_special_tokens=False)
+            begins = np.cumsum([0, *(len(w) + 1 for w in text.split(" "))])
+            cuts = np.searchsorted(np.asarray([a for a, _ in encoded.offsets], dtype=np.int64), begins)
+            first.append(cuts[:-1] + place)
+            count.append(np.diff(cuts))
+            ids.append(np.asarray(encoded.ids, dtype="<u4"))
+            place += len(ids[-1])
+        at = np.searchsorted(self.words, hashes)
+        self.words = np.insert(self.words, at, hashes)
+        self.first = np.insert(self.first, at, np.concatenate(first))
+        self.count = np.insert(self.count, at, np.concatenate(count))
+        self.ids = np.concatenate(ids)
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        out = [self.ids[:0]] * len(texts)
+        plain = []
+        for k, t in enumerate(texts):
+            if not t:
+                continue
+            if self.odd.search(t) if t.isascii() else self.unusual.search(t) or not unicodedata.is_normalized("NFC", t):
+                out[k] = self._whole(t)
+            else:
+                plain.append(k)
+        data, hashes, starts, ends, begins = word_spans([texts[k].lower() for k in plain])
+        if not len(hashes):
+            return out
         if len(self.words) > _KEPT_WORDS:
-            self.words.clear()
-        if missing := {w for w in set(words) if w not in self.words}:
-            self._learn(missing)
-        return b"".join([self.words[w] for w in words])
+            self._forget()
+        words, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.words, words)
+        new = np.ones(len(words), bool)
+        new[at < len(self.words)] = self.words[at[at < len(self.words)]] != words[at < len(self.words)]
+        if new.any():
+            self._learn(words[new], [data[a:b].tobytes() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
+            at = np.searchsorted(self.words, words)
+        count = self.count[at][which]
+        last = np.cumsum(count)
+        ids = self.ids[np.repeat(self.first[at][which] - (last - count), count) + np.arange(last[-1])]
+        cuts = np.concatenate([[0], last])[begins]
+        for k, a, b in zip(plain, cuts, cuts[1:]):
+            out[k] = ids[a:b]
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_many([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -95,23 +139,22 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or _vocabulary_path()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long"
-    end = np.asarray([END_ID], dtype="<u4").tobytes()
+    end = np.asarray([END_ID], dtype="<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path).encode_many
         for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                part = batch.slice(low, 2000)
+            for part in slices(batch, 1, ENCODE_BYTES):
                 row, rest = [], []
-                for k, text in enumerate(part.column(1)):
-                    ids = (encode(text.as_py()) if text.is_valid else b"") + end
-                    n = len(ids) // 4
-                    start = 0
-                    while start < n:
-                        length = CAPACITY if n - start >= CAPACITY else min(PIECE, n - start)
-                        row.append(k)
-                        rest.append((start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), n))
-                        start += length
+                for k, ids in enumerate(encode(part.column(1).to_pylist())):
+                    ids = np.concatenate([ids, end])
+                    for start in range(0, len(ids), CAPACITY):
+                        window = ids[start : start + CAPACITY]
+                        step = CAPACITY if len(window) == CAPACITY else PIECE
+                        for low in range(0, len(window), step):
+                            piece = window[low : low + step]
+                            row.append(k)
+                            rest.append((start + low, len(piece), zlib.crc32(piece), len(ids)))
                 columns = [pa.array(c, pa.int64()) for c in zip(*rest)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
@@ -121,30 +164,33 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
 def _difference(sizes: list[int], k: int) -> list[list[int]]:
     """Members of each of k windows, by multiway differencing of the sizes."""
     heap = []
-    for i, s in enumerate(sizes):  # (-imbalance, age, window sums ascending, members of each window)
-        heap.append((-s, i, np.asarray([0] * (k - 1) + [s]), [()] * (k - 1) + [(i,)]))
+    for i, s in enumerate(sizes):  # (-imbalance, age, window sums ascending, what fills each window: an item, a join of two or -1)
+        heap.append((-s, i, np.asarray([0] * (k - 1) + [s]), np.asarray([-1] * (k - 1) + [i])))
     heapq.heapify(heap)
-    age = len(sizes)
+    n = age = len(sizes)
+    joined: list[tuple[int, int]] = []
     while len(heap) > 1:
         a, b = heapq.heappop(heap), heapq.heappop(heap)
-        sums = a[2] + b[2][::-1]
-        members = [(x, y) if x and y else x or y for x, y in zip(a[3], reversed(b[3]))]
+        sums, left, right = a[2] + b[2][::-1], a[3], b[3][::-1]
+        fill = np.maximum(left, right)
+        both = np.flatnonzero((left >= 0) & (right >= 0))
+        if len(both):
+            fill[both] = np.arange(n + len(joined), n + len(joined) + len(both))
+            joined += zip(left[both].tolist(), right[both].tolist())
         order = np.argsort(sums, kind="stable")
         sums = sums[order]
-        heapq.heappush(heap, (int(sums[0] - sums[-1]), age, sums, [members[o] for o in order]))
+        heapq.heappush(heap, (int(sums[0] - sums[-1]), age, sums, fill[order]))
         age += 1
-    return [_flat(m) for m in heap[0][3]]
-
-
-def _flat(tree) -> list[int]:
-    """Leaves of nested pairs, without recursion: merges nest as deep as there are pieces."""
-    out, todo = [], [tree]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, tuple):
-            todo.extend(reversed(x))
-        else:
-            out.append(x)
+    out = []
+    for top in heap[0][3].tolist():
+        members, todo = [], [top] if top >= 0 else []
+        while todo:
+            x = todo.pop()
+            if x < n:
+                members.append(x)
+            else:
+                todo += joined[x - n]
+        out.append(members)
     return out
 
 
