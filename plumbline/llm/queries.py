@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import fingerprint, jaccard, langid, lmscore, mixing, packing, pii, toxicity, urlfilter
+from plumbline.llm import fingerprint, jaccard, langid, lmscore, media, mixing, packing, pii, toxicity, urlfilter
 
 QUERIES = {
     "op1_urlfilter": urlfilter.op1_urlfilter,
     "op2_pii": pii.op2_pii,
     "op3_packing": packing.op3_packing,
+    "op4_media": media.op4_media,
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_fingerprint": fingerprint.op7_fingerprint,
