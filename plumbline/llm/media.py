@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import checkpointed, table
 from plumbline.llm.components import components
 
-SCALES, CORNERS = (1.0, 0.7), 20
+SCALES, CORNERS = (1.0, 0.75), 24
 #: Half width of a described patch, of the window that corners are the best of, and of the corner sums.
-PATCH, BEST_OF, SUMMED = 11, 3, 2
+PATCH, BEST_OF, SUMMED = 15, 3, 2
 TESTS, PARTS = 128, 4
 #: Bits that matched descriptors may differ in; width of a shift's bin in pixels; matches that make a copy.
-MAX_BITS, BIN, MIN_MATCHES = 20, 12, 6
+MAX_BITS, BIN, MIN_MATCHES = 16, 12, 6
 
 _random = np.random.default_rng(41)
-_PAIRS = np.clip(_random.normal(0, PATCH / 2.2, (TESTS, 2, 2)), -PATCH * 0.7, PATCH * 0.7)
+_PAIRS = _random.uniform(-0.7 * PATCH, 0.7 * PATCH, (TESTS, 2, 2))
 _DISC = np.hypot(*np.mgrid[-PATCH : PATCH + 1, -PATCH : PATCH + 1]) <= PATCH
 
 
@@ -95,42 +95,48 @@ def describe(pixels: np.ndarray | None) -> list[tuple[float, float, float, int,
     return out
 
 
+#: Room for corners in a reference: an image's id times this, plus the corner's number.
+_ROOM = 64
+
+
 def descriptors(images: DataFrame) -> DataFrame:
-    """(id, x, y, turn, d1, d2) of the corners in (id, image); null and unreadable images have none."""
+    """(ref, x, y, turn, d1, d2) of the corners in (id, image); null and unreadable images have none.
+
+    Ids are whole numbers; a corner's reference is the image's id times _ROOM plus the corner's number.
+    """
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                rows = [(k, *d) for k, image in enumerate(part.column(1)) for d in describe(decode_pgm(image.as_py()))]
-                columns = list(zip(*rows)) or [()] * 6
-                values = [pa.array(c, kind) for c, kind in zip(columns[1:], [pa.float64()] * 3 + [pa.int64()] * 2)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(columns[0], pa.int64())), *values], names=["id", "x", "y", "turn", "d1", "d2"])
+                rows = [(n.as_py() * _ROOM + k, *d) for n, image in zip(part.column(0), part.column(1)) for k, d in enumerate(describe(decode_pgm(image.as_py())))]
+                kinds = [pa.int64(), *[pa.float32()] * 3, *[pa.int64()] * 2]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*rows)) or [()] * 6, kinds)], names=["ref", "x", "y", "turn", "d1", "d2"])
 
-    return images.select("id", "image").mapInArrow(described, f"id {images.schema['id'].dataType.simpleString()}, x double, y double, turn double, d1 long, d2 long")
+    return images.select(F.col("id").cast("long"), "image").mapInArrow(described, "ref long, x float, y float, turn float, d1 long, d2 long")
 
 
-def _tabled(rows: DataFrame) -> DataFrame:
-    """A row for each part of each descriptor, under (part, bits)."""
+def _buckets(rows: DataFrame) -> DataFrame:
+    """(bucket, ref): a row for each part of each descriptor; a bucket is a part's number and bits."""
     bits = [F.shiftrightunsigned(d, 32 * k).bitwiseAND(F.lit(0xFFFFFFFF)) for d in (F.col("d1"), F.col("d2")) for k in (0, 1)]
-    return rows.select("*", F.posexplode(F.array(*bits)).alias("part", "bits"))
+    return rows.select("ref", F.explode(F.array(*(b + F.lit(n << 32) for n, b in enumerate(bits)))).alias("bucket"))
 
 
-def _consensus(met: DataFrame) -> DataFrame:
+def _consensus(met: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, matches): the most matches of two images in one bin of rotation and shift, if enough.
 
-    `met` has rows a.*, b.* of descriptors that share a bucket. Bins overlap by half, so that agreeing
-    matches are not parted by a border.
+    `met` has (a, b), references of descriptors in `left` and `right` that share a bucket. Bins overlap by
+    half, so that agreeing matches are not parted by a border.
     """
-    differ = F.bit_count(F.col("a.d1").bitwiseXOR(F.col("b.d1"))) + F.bit_count(F.col("a.d2").bitwiseXOR(F.col("b.d2")))
-    turn: Column = F.col("a.turn") - F.col("b.turn")
+    side = lambda rows, s: rows.select(F.col("ref").alias(s), F.struct("x", "y", "turn", "d1", "d2").alias(f"{s}_"))
+    met = met.distinct().join(side(left, "a"), "a").join(side(right, "b"), "b")
+    differ = F.bit_count(F.col("a_.d1").bitwiseXOR(F.col("b_.d1"))) + F.bit_count(F.col("a_.d2").bitwiseXOR(F.col("b_.d2")))
+    turn: Column = F.col("a_.turn") - F.col("b_.turn")
     c, s = F.cos(turn), F.sin(turn)
-    dx = F.col("a.x") - (F.col("b.x") * c - F.col("b.y") * s)
-    dy = F.col("a.y") - (F.col("b.x") * s + F.col("b.y") * c)
-    step = F.lit(np.pi / 6)
     matches = met.where(differ <= MAX_BITS).select(
-        F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.struct("a.x", "a.y").alias("at"),
-        F.pmod(F.round(turn / step), F.lit(12)).alias("t"), dx.alias("dx"), dy.alias("dy"),
+        F.floor(F.col("a") / _ROOM).alias("a"), F.floor(F.col("b") / _ROOM).alias("b"), F.struct("a_.x", "a_.y").alias("at"),
+        F.pmod(F.round(turn / F.lit(np.pi / 6)), F.lit(12)).alias("t"),
+        (F.col("a_.x") - (F.col("b_.x") * c - F.col("b_.y") * s)).alias("dx"), (F.col("a_.y") - (F.col("b_.x") * s + F.col("b_.y") * c)).alias("dy"),
     )
     half = F.explode(F.array(F.lit(0.0), F.lit(0.5)))
     matches = matches.withColumn("hx", half).withColumn("hy", half)
@@ -138,31 +144,33 @@ def _consensus(met: DataFrame) -> DataFrame:
     return votes.groupBy("a", "b").agg(F.max("n").alias("matches")).where(F.col("matches") >= MIN_MATCHES)
 
 
-def find_copies(images: DataFrame, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def find_copies(images: DataFrame, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Classes of `images` (id, image), and what each of `queries` (id, image) is a copy of.
 
-    Returns (id, class_id, twins) of every image with an id - class_id: the smallest id among its copies; twins: how
-    many images have the very same bytes - and (id, class_id, matches) of the best class of each query that has one.
-    A null image is alone in its class. Rows without an id are left out; of rows of one id, all are looked at.
+    Returns (id, class_id, twins) of every image with an id - class_id: the smallest id among its copies;
+    twins: how many images have the very same bytes - and (id, class_id, matches) of the best class of
+    each query that has one. A null image is alone in its class. Rows without an id are left out; of rows
+    of one id, each distinct image is looked at.
     """
-    rows = images.where("id IS NOT NULL").select("id", "image", F.when(F.col("image").isNull(), F.concat(F.lit("null "), F.col("id").cast("string"))).otherwise(F.sha2("image", 256)).alias("digest"))
-    same = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("twins"))
-    same = checkpointed(same)
+    null = F.concat(F.lit("null "), F.col("id").cast("string"))
+    rows = images.where("id IS NOT NULL").select("id", "image", F.when(F.col("image").isNull(), null).otherwise(F.sha2("image", 256)).alias("digest"))
+    same = checkpointed(rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("twins")))
     one_each = rows.join(same.select("digest", F.col("first").alias("id")), ["digest", "id"]).dropDuplicates(["id", "digest"])
-    held = checkpointed(_tabled(descriptors(one_each)))
-    first = held.groupBy("part", "bits").agg(F.min_by(F.struct("id", "x", "y", "turn", "d1", "d2"), F.col("id")).alias("f"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    led = held.alias("a").join(first.select("part", "bits", "f.*").alias("b"), ["part", "bits"]).where("a.id <> b.id")
-    links = checkpointed(_consensus(led).select("a", "b"))
-    named = same.select("digest", "first", "twins")
+    held = checkpointed(descriptors(one_each))
+    # both readers of a bucket's rows share one shuffle
+    dealt = _buckets(held).repartition("bucket")
+    first = dealt.groupBy("bucket").agg(F.min("ref").alias("b"), F.max("ref").alias("high")).where(F.floor(F.col("b") / _ROOM) < F.floor(F.col("high") / _ROOM)).select("bucket", "b")
+    led = dealt.join(first, "bucket").where(F.floor(F.col("ref") / _ROOM) != F.floor(F.col("b") / _ROOM)).select(F.col("ref").alias("a"), "b")
+    links = checkpointed(_consensus(led, held, held).select("a", "b"))
     groups = components(links)
-    classes = named.join(groups.withColumnRenamed("node", "first"), "first", "left").select("digest", "first", "twins", F.coalesce("component", "first").alias("class_id"))
+    classes = same.join(groups.withColumnRenamed("node", "first"), "first", "left").select("digest", "first", "twins", F.coalesce("component", "first").alias("class_id"))
     classes = checkpointed(classes)
     found = rows.select("id", "digest").join(classes.drop("first"), "digest").select("id", "class_id", "twins")
     if queries is None:
-        return found, links.sparkSession.createDataFrame([], f"id {images.schema['id'].dataType.simpleString()}, class_id {images.schema['id'].dataType.simpleString()}, matches long")
-    asked = _tabled(descriptors(queries.where("id IS NOT NULL")))
-    met = asked.alias("a").join(held.alias("b"), ["part", "bits"])
-    of_class = _consensus(met).join(classes.select(F.col("first").alias("b"), "class_id"), "b")
+        return found, None
+    asked = checkpointed(descriptors(queries.where("id IS NOT NULL")))
+    met = _buckets(asked).withColumnRenamed("ref", "a").join(_buckets(held).withColumnRenamed("ref", "b"), "bucket").select("a", "b")
+    of_class = _consensus(met, asked, held).join(classes.select(F.col("first").alias("b"), "class_id"), "b")
     best = of_class.groupBy(F.col("a").alias("id")).agg(F.max(F.struct("matches", (-F.col("class_id")).alias("c"))).alias("best"))
     return found, best.select("id", (-F.col("best.c")).alias("class_id"), F.col("best.matches").alias("matches"))
 
@@ -170,17 +178,27 @@ def find_copies(images: DataFrame, queries: DataFrame | None = None) -> tuple[Da
 # ---- the query's images
 
 SIDE = 96
+_WAVES = 64
+
+
+def _waves() -> np.ndarray:
+    """A plane wave for each of _WAVES components, 7 to 16 pixels long, in all directions."""
+    k = np.arange(_WAVES)
+    turn, length = k * 2.399963, 7 + 9 * (k * 0.618034 % 1)
+    y, x = np.mgrid[:SIDE, :SIDE]
+    return np.cos(2 * np.pi * (np.cos(turn)[:, None, None] * x + np.sin(turn)[:, None, None] * y) / length[:, None, None] + k[:, None, None]).reshape(_WAVES, -1).astype(np.float32)
 
 
 def picture(vector: list[float] | None) -> bytes | None:
-    """A grey picture of a vector: its components as a square grid, smoothly enlarged."""
+    """A grey texture of a vector: waves weighted by its components (component k to wave k modulo their number)."""
     if not vector:
         return None
-    n = int(np.ceil(np.sqrt(len(vector))))
-    grid = np.zeros(n * n, np.float32)
-    grid[: len(vector)] = np.nan_to_num(np.asarray(vector, np.float32))
-    spread = float(grid.std()) or 1.0
-    return encode_pgm(np.clip(_resized(grid.reshape(n, n), SIDE, SIDE) / spread * 50 + 128, 0, 255))
+    weight = np.bincount(np.arange(len(vector)) % _WAVES, weights=np.nan_to_num(np.asarray(vector, float)), minlength=_WAVES).astype(np.float32)
+    texture = weight @ _BASIS
+    return encode_pgm(np.clip(texture / (float(texture.std()) or 1.0) * 50 + 128, 0, 255).reshape(SIDE, SIDE))
+
+
+_BASIS = _waves()
 
 
 def edited(image: bytes | None, number: int) -> bytes | None:
