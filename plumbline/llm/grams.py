@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import release
+
 #: Text bytes of a chunk and of a hash partition; bytes that words are hashed in at a time.
 CHUNK_BYTES, PART_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20, 1 << 20
 #: Bits of a hash that leaves its chunk.
@@ -197,6 +199,8 @@ def with_corpus_counts(docs: DataFrame, grams: Grams, finish: Callable[[pa.Array
             first = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1)))
             cuts = [(int(part[a]), encode_keys(keys[a:b]), encode_counts(counts[a:b])) for a, b in zip(first, [*first[1:], len(keys)])]
             yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cuts], pa.int64()), pa.array([name] * len(cuts)), pa.array([c[1] for c in cuts], pa.binary()), pa.array([c[2] for c in cuts], pa.binary())], names=["part", "chunk", "keys", "counts"])
+            del keys, counts, part, cuts
+        release()
 
     def answer(rows: pa.Table) -> pa.Table:
         keys = [decode_keys(k) for k in rows.column("keys").to_pylist()]
@@ -211,19 +215,26 @@ def with_corpus_counts(docs: DataFrame, grams: Grams, finish: Callable[[pa.Array
         totals[order] = np.bincount(run, weights=counts[order]).astype(np.int64)[run]
         ends = np.cumsum(sizes)
         out = [encode_counts(totals[b - n : b]) for b, n in zip(ends, sizes)]
-        return pa.table({"part": rows.column("part"), "chunk": rows.column("chunk"), "totals": pa.array(out, pa.binary())})
+        answered = pa.table({"part": rows.column("part"), "chunk": rows.column("chunk"), "totals": pa.array(out, pa.binary())})
+        del every, counts, order, run, totals, out
+        release()
+        return answered
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for name, rows in _chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([press.compress(_packed(rows))], pa.binary())], names=["chunk", "rows"])
+        release()
 
     def close(left: pa.Table, right: pa.Table) -> pa.Table:
         with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(left.column("rows")[0].as_py())) as stream:
             rows = stream.read_all()
         replies = right.sort_by("part").column("totals").to_pylist()
         totals = np.concatenate([np.zeros(0, np.int64), *map(decode_counts, replies)])
-        return finish(rows.column("doc_id").combine_chunks(), rows.column("text").to_pylist(), totals)
+        finished = finish(rows.column("doc_id").combine_chunks(), rows.column("text").to_pylist(), totals)
+        del rows, totals, replies
+        release()
+        return finished
 
     asked = docs.mapInArrow(ask, "part long, chunk string, keys binary, counts binary")
     answered = asked.groupBy("part").applyInArrow(answer, "part long, chunk string, totals binary")

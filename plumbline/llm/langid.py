@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fold_of, table
+from plumbline.llm.common import fold_of, release, table
 
 NGRAMS = (1, 2, 3)
 BITS = 14
@@ -145,6 +145,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             found = [model.predict(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             new = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
+        release()
 
     return docs.mapInArrow(judged, schema)
 

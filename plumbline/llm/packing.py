@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices, table
+from plumbline.llm.common import release, slices, table
 from plumbline.llm.grams import word_spans
 
 CAPACITY = 4096
@@ -32,9 +32,9 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 
 #: Text bytes that are encoded together.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 #: A worker that has kept the ids of more distinct words than this starts afresh (about 40 bytes a word).
-_KEPT_WORDS = 3_000_000
+_KEPT_WORDS = 1_500_000
 
 
 def _vocabulary_path() -> str:
@@ -157,6 +157,7 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
                             rest.append((start + low, len(piece), zlib.crc32(piece), len(ids)))
                 columns = [pa.array(c, pa.int64()) for c in zip(*rest)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 

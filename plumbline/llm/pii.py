@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import release, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -364,6 +364,7 @@ def find(docs: DataFrame) -> DataFrame:
                 texts = part.column(1).to_pylist()
                 base, spans = [base_spans(t) for t in texts], all_spans(texts, field)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_joined, base), pa.string()), pa.array(map(_joined, spans), pa.string())], names=["doc_id", "base", "spans"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base string, spans string")
 
@@ -404,6 +405,7 @@ def redact(docs: DataFrame) -> DataFrame:
                     old = columns["n_chars"].to_pylist()
                     columns["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(new, spans, old)], columns["n_chars"].type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        release()
 
     return docs.mapInArrow(masked, docs.schema)
 

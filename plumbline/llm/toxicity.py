@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bounded_sample, fold_of, table
+from plumbline.llm.common import bounded_sample, fold_of, release, table
 
 NGRAMS = (3, 4, 5)
 BITS = 18
@@ -121,7 +121,10 @@ def fit_frames(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         .toArrow()
         .sort_by([("doc_id", "ascending"), ("text", "ascending")])
     )
-    return fit(rows.column("text").to_pylist(), rows.column("_toxic").to_pylist())
+    model = fit(rows.column("text").to_pylist(), rows.column("_toxic").to_pylist())
+    del rows
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, column: str = "toxicity") -> DataFrame:
@@ -138,6 +141,7 @@ def score(docs: DataFrame, model: ToxicityModel, column: str = "toxicity") -> Da
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             out = pa.array([model.score(t) for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, column])
+        release()
 
     return docs.mapInArrow(scored, schema)
 
