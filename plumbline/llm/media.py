@@ -138,9 +138,11 @@ def _consensus(met: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
         F.pmod(F.round(turn / F.lit(np.pi / 6)), F.lit(12)).alias("t"),
         (F.col("a_.x") - (F.col("b_.x") * c - F.col("b_.y") * s)).alias("dx"), (F.col("a_.y") - (F.col("b_.x") * s + F.col("b_.y") * c)).alias("dy"),
     )
-    half = F.explode(F.array(F.lit(0.0), F.lit(0.5)))
-    matches = matches.withColumn("hx", half).withColumn("hy", half)
-    votes = matches.groupBy("a", "b", "t", "hx", "hy", F.floor(F.col("dx") / BIN + F.col("hx")).alias("bx"), F.floor(F.col("dy") / BIN + F.col("hy")).alias("by")).agg(F.count_distinct("at").alias("n"))
+    # counted in cells of half a bin first; then each bin is the sum of the two by two cells from its corner on
+    cell = [F.floor(F.col(d) / (BIN / 2)).alias(c) for d, c in (("dx", "cx"), ("dy", "cy"))]
+    cells = matches.groupBy("a", "b", "t", *cell).agg(F.count_distinct("at").alias("n"))
+    bins = cells.withColumn("hx", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("hy", F.explode(F.array(F.lit(0), F.lit(1))))
+    votes = bins.groupBy("a", "b", "t", (F.col("cx") - F.col("hx")).alias("bx"), (F.col("cy") - F.col("hy")).alias("by")).agg(F.sum("n").alias("n"))
     return votes.groupBy("a", "b").agg(F.max("n").alias("matches")).where(F.col("matches") >= MIN_MATCHES)
 
 
