@@ -28,8 +28,15 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
     return spark
 
 
+#: Rows and bytes of a batch on its way to a Python worker. Documents are long, and a batch is held
+#: on both sides at once, so Spark's 10 000 rows would take much of a worker's memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Makes this package importable in Python workers, wherever they run; done once an application."""
+    """Makes this package importable in Python workers, wherever they run (once an application), and bounds their batches."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
