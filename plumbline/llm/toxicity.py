@@ -138,8 +138,8 @@ def score(docs: DataFrame, model: ToxicityModel, column: str = "toxicity") -> Da
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            out = pa.array([model.score(t) for t in texts], pa.float64())
+            texts = batch.column(batch.schema.get_field_index("text"))
+            out = pa.array([model.score(t.as_py()) for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, column])
         release()
 
