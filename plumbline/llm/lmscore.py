@@ -65,7 +65,7 @@ def finish(doc_ids: pa.Array, texts: list, totals: np.ndarray) -> pa.Table:
             end = score[n - 1 :]
             end[ok] = np.where(seen > 0, seen / np.maximum(context[: len(ok)], 1), BACKOFF * end)[ok]
         context = seen
-    log = np.bincount(owner, weights=np.log10(score), minlength=len(texts))
+    log = np.bincount(owner, weights=np.log10(score), minlength=len(texts)).astype(float)  # of no words it counts in whole numbers
     mean = np.divide(log, n_words, out=np.zeros(len(texts)), where=n_words > 0)
     return pa.table({"doc_id": doc_ids, "n_words": pa.array(n_words, pa.int64()), "log_score": pa.array(log), "mean_log_score": pa.array(mean)})
 
