@@ -83,8 +83,9 @@ def common_prefix(a: Column, b: Column, most: int = LONGEST_PREFIX) -> Column:
 
 def jaro_winkler(a: Column, b: Column, p: float = PREFIX_WEIGHT, exact_single_char: bool = False) -> Column:
     """Jaro plus the prefix bonus, which applies however low the Jaro similarity is."""
-    j = jaro(a, b, exact_single_char)
-    return j + common_prefix(a, b) * F.lit(p) * (1 - j)
+    # through an array, so that the Jaro similarity stands in the plan once
+    once = F.array(jaro(a, b, exact_single_char))
+    return F.element_at(F.transform(once, lambda j: j + common_prefix(a, b) * F.lit(p) * (1 - j)), 1)
 
 
 def levenshtein_ci(a: Column, b: Column) -> Column:
@@ -155,7 +156,7 @@ SQL_FUNCTIONS = {
                 / length(s.seen)) / 3 END)
         END""",
     "common_prefix(a STRING, b STRING) RETURNS INT": "size(filter(sequence(1, 4), n -> octet_length(a) >= n AND octet_length(b) >= n AND substring(byte_string(a), 1, n) = substring(byte_string(b), 1, n)))",
-    "jaro_winkler(a STRING, b STRING) RETURNS DOUBLE": f"jaro(a, b) + common_prefix(a, b) * {PREFIX_WEIGHT}D * (1 - jaro(a, b))",
+    "jaro_winkler(a STRING, b STRING) RETURNS DOUBLE": f"element_at(transform(array(jaro(a, b)), j -> j + common_prefix(a, b) * {PREFIX_WEIGHT}D * (1 - j)), 1)",
     "levenshtein_ci(a STRING, b STRING) RETURNS INT": "byte_levenshtein(ascii_lower(a), ascii_lower(b))",
     "jaro_winkler_ci(a STRING, b STRING) RETURNS DOUBLE": "jaro_winkler(ascii_lower(a), ascii_lower(b))",
     "fuzzy_score(a STRING, b STRING, algorithm STRING) RETURNS DOUBLE": "coalesce(CASE WHEN algorithm = 'levenshtein' THEN norm_levenshtein(a, b) ELSE jaro_winkler(a, b) END, 0D)",

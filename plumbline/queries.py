@@ -221,9 +221,10 @@ def fuzzy_score(t):
 @query(_names_sql("p_partkey, p_name, round(jw, 9) AS score", "jw >= 0.85"))
 def fuzzy_like_jw(t):
     # names that a bound from lengths rules out never get a score
-    hits = t("part").select("p_name").distinct().where(p.fuzzy_like(F.col("p_name"), PATTERN, 0.85))
-    found = hits.withColumn("score", F.round(sim.jaro_winkler(F.col("p_name"), F.lit(PATTERN)), 9))
-    return t("part").select("p_partkey", "p_name").join(found, "p_name").select("p_partkey", "p_name", "score")
+    name, pattern = F.col("p_name"), F.lit(PATTERN)
+    possible = t("part").select("p_name").distinct().where(sim.upper_bound(name, pattern) + 1e-9 >= 0.85)
+    found = possible.select("p_name", F.explode(F.filter(F.array(sim.jaro_winkler(name, pattern)), lambda s: s >= 0.85)).alias("score"))
+    return t("part").select("p_partkey", "p_name").join(found, "p_name").select("p_partkey", "p_name", F.round("score", 9).alias("score"))
 
 
 @query(f"SELECT p_partkey, p_name FROM part WHERE 1 - levenshtein(p_name, '{PATTERN}')::DOUBLE / greatest(length(p_name), length('{PATTERN}')) >= 0.6")
