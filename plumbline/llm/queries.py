@@ -16,4 +16,17 @@ QUERIES = {
     "op9_lmscore": lmscore.op9_lmscore,
     "op10_jaccard": jaccard.op10_jaccard,
 }
-SQL: dict[str, str] = {}
+#: The others fit models, hash, schedule or tokenize beyond SQL; tests/llm holds them against plain Python.
+SQL: dict[str, str] = {
+    "op10_jaccard": """WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+u AS (SELECT doc_id, unnest(sh) AS g FROM s),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM s UNION SELECT reach.doc_id, ways.y FROM reach JOIN ways ON reach.r = ways.x)
+SELECT n.doc_id, n.n AS n_shingles, min(r) AS component_id FROM reach JOIN n ON n.doc_id = reach.doc_id GROUP BY 1, 2""",
+}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import fingerprint, grams, langid, lmscore, media, mixing, packing, pii, queries, toxicity, urlfilter
 from plumbline.llm.components import components
-from tests.oracle import SMALL
+from tests.oracle import SMALL, check
 
 DOCS = "doc_id long, text string"
 ODD = [(1, None), (2, ""), (3, " \n"), (4, "word " * 20000), (5, "same text"), (6, "same text"), (6, "same text"), (7, "日本語 é é ﬁ"), (None, "no id")]
@@ -309,3 +309,8 @@ def test_edited_pictures_are_found(spark):
 
 def test_every_operator_has_a_query():
     assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} == set(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_and_sql_agree(spark, name):
+    check(spark, queries.QUERIES[name], queries.SQL[name], "/root/testdata/sf0.01")
