@@ -100,8 +100,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         digest(canon["edited"]).alias("edited_fingerprint"),
         alike("text", "edited").alias("near_edited"),
         alike("text", "next_text").alias("near_next"),
-        F.when(F.lit(False), canon["text"]).alias("canon"),
-    ).drop("canon")
+    )
     classes = checkpointed(exact_classes(docs).select("fingerprint", "canon_rank", "class_id", "copies"))
     single = classes.groupBy("fingerprint").agg(F.min("class_id").alias("class_id"), F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("texts"))
     out = out.join(single, "fingerprint", "left")
