@@ -72,10 +72,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("stretch").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
     placed = dealt.withColumn("following", F.lead("text").over(order))
     heads = dealt.withColumn("place", F.row_number().over(order)).where("place = 1").select("stretch", F.col("text").alias("head"))
-    # one row a stretch: which stretch each head follows
-    down = Window.orderBy(F.desc("stretch"))
-    links = dealt.groupBy("stretch").agg(F.count(F.lit(1)).alias("n")).select("stretch", F.lead("stretch").over(down).alias("below"), F.max("stretch").over(Window.partitionBy()).alias("top"))
-    links = links.select("stretch", F.coalesce("below", "top").alias("below"))
+    # which stretch each head follows: the next below between the same quantiles, else the highest below them
+    band = F.floor(F.col("stretch") / parts).alias("band")
+    found = dealt.select("stretch").distinct().select("stretch", band)
+    bands = found.groupBy("band").agg(F.max("stretch").alias("highest"))  # QUANTILES + 2 rows at most
+    bands = bands.select("band", F.lead("highest").over(Window.orderBy(F.desc("band"))).alias("lower"), F.max("highest").over(Window.partitionBy()).alias("top"))
+    near = F.lead("stretch").over(Window.partitionBy("band").orderBy(F.desc("stretch")))
+    links = found.withColumn("near", near).join(F.broadcast(bands), "band").select("stretch", F.coalesce("near", "lower", "top").alias("below"))
     after = links.join(heads.withColumnRenamed("stretch", "below"), "below").select("stretch", "head")
     return placed.join(after, "stretch").select("doc_id", "text", F.coalesce("following", "head").alias("next_text"))
 
