@@ -40,11 +40,12 @@ def exact_classes(docs: DataFrame) -> DataFrame:
     fingerprint (canon_rank 1, 2, ... by class_id; practically always one). Copies meet in partial
     aggregates in each task, so a large group of copies is never gathered.
     """
-    c = canonical(F.col("text"))
-    h1, h2 = halves(c)
-    repeated = checkpointed(docs.select(h1.alias("h1"), h2.alias("h2")).groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"))
+    canon = docs.select("doc_id", canonical(F.col("text")).alias("canon"))
+    h1, h2 = halves(F.col("canon"))
+    keyed = canon.select("doc_id", "canon", h1.alias("h1"), h2.alias("h2"))
+    repeated = checkpointed(keyed.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"))
     small = repeated.count() <= BROADCAST_ROWS
-    members = docs.select("doc_id", c.alias("canon"), h1.alias("h1"), h2.alias("h2")).join(F.broadcast(repeated) if small else repeated, ["h1", "h2"], "left_semi")
+    members = keyed.join(F.broadcast(repeated) if small else repeated, ["h1", "h2"], "left_semi")
     classes = members.groupBy("h1", "h2", "canon").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     rank = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("class_id", "canon"))
     name = F.lower(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")))
@@ -92,17 +93,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
+    # each canonical text and digest is a column of its own: Spark would work an expression that calls Java out at every mention
     wide = with_next(docs).withColumn("edited", edited)
-    canon = {name: canonical(F.col(name)) for name in ("text", "edited", "next_text")}
-    alike = lambda a, b: F.when(digest(canon[a]) != digest(canon[b]), F.lit(0.0)).otherwise((canon[a] == canon[b]).cast("double"))
-    out = wide.select(
+    canon = wide.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        digest(canon["text"]).alias("fingerprint"),
-        digest(canon["edited"]).alias("edited_fingerprint"),
-        alike("text", "edited").alias("near_edited"),
-        alike("text", "next_text").alias("near_next"),
+        *(canonical(F.col(t)).alias(f"canon_{t}") for t in ("text", "edited", "next_text")),
+    )
+    known = canon.select("*", *(digest(F.col(f"canon_{t}")).alias(f"digest_{t}") for t in ("text", "edited", "next_text")))
+    alike = lambda other: F.when(F.col("digest_text") != F.col(f"digest_{other}"), F.lit(0.0)).otherwise((F.col("canon_text") == F.col(f"canon_{other}")).cast("double"))
+    out = known.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        F.col("digest_text").alias("fingerprint"),
+        F.col("digest_edited").alias("edited_fingerprint"),
+        alike("edited").alias("near_edited"),
+        alike("next_text").alias("near_next"),
     )
     classes = checkpointed(exact_classes(docs).select("fingerprint", "canon_rank", "class_id", "copies"))
     single = classes.groupBy("fingerprint").agg(F.min("class_id").alias("class_id"), F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("texts"))
