@@ -225,6 +225,16 @@ def test_fingerprints_of_odd_rows(spark):
     assert fingerprint.fingerprints(empty(spark)).count() == 0
 
 
+def test_next_document_over_many_stretches(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "STRETCH", 3)
+    monkeypatch.setattr(fingerprint, "QUANTILES", 4)
+    ids = [*range(0, 60, 2), *range(1000, 1003), 50_000, None]  # dense, a gap, alone, without an id
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    out = {r.doc_id: r.next_text for r in fingerprint.with_next(docs).collect()}
+    order = [*sorted((i for i in ids if i is not None), reverse=True), None]
+    assert out == {i: f"text {j}" for i, j in zip(order, [*order[1:], order[0]])}
+
+
 # ---- counts, scores, components
 
 
