@@ -4,8 +4,9 @@ Corners are found at several scales, each with the direction of its patch's inte
 brightness tests, turned by that direction, describe it. Descriptors meet in hash tables of their 32-bit
 parts, so two that differ in fewer bits than there are parts always meet in one, and more distant ones
 often. Matches that agree in rotation and shift count as one consensus; enough of them make two images
-copies. Byte-equal images stand for one another from the start, and in a bucket of a table each
-descriptor is compared with the bucket's first one only: no bucket gives all its pairs.
+copies. Byte-equal images stand for one another from the start. A first round compares each descriptor
+with its bucket's first one only; a second compares what the first leaves in different classes, in units
+of bounded size, so classes are those that all pairs of all buckets would give.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ TESTS, PARTS = 128, 4
 #: Bits that matched descriptors may differ in; width of a shift's bin in pixels; matches that make a copy.
 MAX_BITS, BIN, MIN_MATCHES = 16, 12, 6
 
+#: Descriptors of a bucket's unit of the second round, on the side of the queries; the other side may be twice as large.
+UNIT_ROWS = 1024
+
 _random = np.random.default_rng(41)
 _PAIRS = _random.uniform(-0.7 * PATCH, 0.7 * PATCH, (TESTS, 2, 2))
 _DISC = np.hypot(*np.mgrid[-PATCH : PATCH + 1, -PATCH : PATCH + 1]) <= PATCH
@@ -122,6 +126,11 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return rows.select("ref", F.explode(F.array(*(b + F.lit(n << 32) for n, b in enumerate(bits)))).alias("bucket"))
 
 
+def _differ(a: str, b: str) -> Column:
+    """Bits in which the tests of two descriptors differ; `a` and `b` are name patterns of the halves' columns."""
+    return F.bit_count(F.col(a % 1).bitwiseXOR(F.col(b % 1))) + F.bit_count(F.col(a % 2).bitwiseXOR(F.col(b % 2)))
+
+
 def _consensus(met: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, matches): the most matches of two images in one bin of rotation and shift, if enough.
 
@@ -130,10 +139,9 @@ def _consensus(met: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """
     side = lambda rows, s: rows.select(F.col("ref").alias(s), F.struct("x", "y", "turn", "d1", "d2").alias(f"{s}_"))
     met = met.distinct().join(side(left, "a"), "a").join(side(right, "b"), "b")
-    differ = F.bit_count(F.col("a_.d1").bitwiseXOR(F.col("b_.d1"))) + F.bit_count(F.col("a_.d2").bitwiseXOR(F.col("b_.d2")))
     turn: Column = F.col("a_.turn") - F.col("b_.turn")
     c, s = F.cos(turn), F.sin(turn)
-    matches = met.where(differ <= MAX_BITS).select(
+    matches = met.where(_differ("a_.d%d", "b_.d%d") <= MAX_BITS).select(
         F.floor(F.col("a") / _ROOM).alias("a"), F.floor(F.col("b") / _ROOM).alias("b"), F.struct("a_.x", "a_.y").alias("at"),
         F.pmod(F.round(turn / F.lit(np.pi / 6)), F.lit(12)).alias("t"),
         (F.col("a_.x") - (F.col("b_.x") * c - F.col("b_.y") * s)).alias("dx"), (F.col("a_.y") - (F.col("b_.x") * s + F.col("b_.y") * c)).alias("dy"),
@@ -146,6 +154,46 @@ def _consensus(met: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return votes.groupBy("a", "b").agg(F.max("n").alias("matches")).where(F.col("matches") >= MIN_MATCHES)
 
 
+def _matched(met: DataFrame, held: DataFrame) -> DataFrame:
+    """The distinct (a, b) of `met` that differ in MAX_BITS at most."""
+    side = lambda s: held.select(F.col("ref").alias(s), F.col("d1").alias(f"{s}1"), F.col("d2").alias(f"{s}2"))
+    return met.distinct().join(side("a"), "a").join(side("b"), "b").where(_differ("a%d", "b%d") <= MAX_BITS).select("a", "b")
+
+
+def _parted(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Those of (a, b), references, whose images are in different components."""
+    out = pairs
+    for s in ("a", "b"):
+        out = out.withColumn("node", F.floor(F.col(s) / _ROOM)).join(groups, "node", "left").withColumn(f"of_{s}", F.coalesce("component", "node")).drop("node", "component")
+    return out.where("of_a <> of_b").select("a", "b")
+
+
+def _left_apart(crowded: DataFrame, held: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b), a > b: matching references in one bucket of `crowded` (bucket, ref, b) whose images are in different components.
+
+    `crowded` has each row of a bucket but its first, b. A bucket of two rows is left out: the first round
+    has compared them. In each other bucket, the rows outside its largest component are queries against
+    all its rows. Both sides are dealt by a hash into units of bounded size, so a large bucket is many
+    units in many tasks.
+    """
+    sizes = crowded.groupBy("bucket", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = crowded.select("bucket", "ref").join(sizes.select("bucket"), "bucket").unionByName(sizes.select("bucket", F.col("b").alias("ref")))
+    members = members.withColumn("node", F.floor(F.col("ref") / _ROOM)).join(groups, "node", "left").select("bucket", "ref", F.coalesce("component", "node").alias("component"))
+    members = checkpointed(members)
+    parts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = parts.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("c")).where("top.c < c")
+    main = main.select("bucket", F.col("top.component").alias("main"), F.ceil((F.col("c") - F.col("top.c")) / UNIT_ROWS).alias("q_units"), F.ceil(F.col("c") / (2 * UNIT_ROWS)).alias("m_units"))
+    rows = members.join(main, "bucket").join(held.select("ref", "d1", "d2"), "ref")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n, salt: F.pmod(F.xxhash64("ref", F.lit(salt)), F.col(n))
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("ref", "component", "d1", "d2")]
+    asked = rows.where("component <> main").select("bucket", *side("q"), dealt("q_units", "q").alias("q"), up_to("m_units").alias("m"))
+    others = rows.select("bucket", *side("m"), dealt("m_units", "m").alias("m"), up_to("q_units").alias("q"))
+    same_unit = [F.col(f"q.{k}") == F.col(f"m.{k}") for k in ("bucket", "q", "m")]
+    met = asked.alias("q").join(others.alias("m"), [*same_unit, F.col("q_component") != F.col("m_component"), _differ("q_d%d", "m_d%d") <= MAX_BITS])
+    return met.select(F.greatest("q_ref", "m_ref").alias("a"), F.least("q_ref", "m_ref").alias("b"))
+
+
 def find_copies(images: DataFrame, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Classes of `images` (id, image), and what each of `queries` (id, image) is a copy of.
 
@@ -162,9 +210,16 @@ def find_copies(images: DataFrame, queries: DataFrame | None = None) -> tuple[Da
     # both readers of a bucket's rows share one shuffle
     dealt = _buckets(held).repartition("bucket")
     first = dealt.groupBy("bucket").agg(F.min("ref").alias("b"), F.max("ref").alias("high")).where(F.floor(F.col("b") / _ROOM) < F.floor(F.col("high") / _ROOM)).select("bucket", "b")
-    led = dealt.join(first, "bucket").where(F.floor(F.col("ref") / _ROOM) != F.floor(F.col("b") / _ROOM)).select(F.col("ref").alias("a"), "b")
+    crowded = checkpointed(dealt.join(first, "bucket").where("ref <> b").select("bucket", "ref", "b"))
+    led = crowded.where(F.floor(F.col("ref") / _ROOM) != F.floor(F.col("b") / _ROOM)).select(F.col("ref").alias("a"), "b")
+    led = checkpointed(_matched(led, held))
     links = checkpointed(_consensus(led, held, held).select("a", "b"))
     groups = components(links)
+    # a pair's votes count in full: its matches of the first round stand beside those of the second
+    every = _parted(led, groups).unionByName(_left_apart(crowded, held, groups))
+    more = checkpointed(_consensus(every, held, held).select("a", "b"))
+    if not more.isEmpty():
+        groups = components(links.unionByName(more))
     classes = same.join(groups.withColumnRenamed("node", "first"), "first", "left").select("digest", "first", "twins", F.coalesce("component", "first").alias("class_id"))
     classes = checkpointed(classes)
     found = rows.select("id", "digest").join(classes.drop("first"), "digest").select("id", "class_id", "twins")

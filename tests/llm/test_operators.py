@@ -314,6 +314,34 @@ def test_edited_pictures_are_found(spark):
     assert pa.array([len(media.describe(media.decode_pgm(images[0])))])[0].as_py() > 10
 
 
+@pytest.mark.parametrize("unit", [1, 1024])
+def test_copies_meet_behind_a_lower_id(spark, monkeypatch, unit):
+    r = np.random.default_rng(12)
+    halves, at = r.integers(-(2**62), 2**62, (2, 10, 2)), r.uniform(20, 200, (2, 10, 2))
+    far = lambda: r.uniform(0, 4000, (10, 2))
+    # the same descriptors, scattered in 1, 5 and 8; 2, 3 and 9, and 4 and 6 of others, are copies
+    images = {1: (0, far()), 2: (0, at[0]), 3: (0, at[0] + 50), 4: (1, at[1]), 5: (0, far()), 6: (1, at[1] - 9), 8: (1, far()), 9: (0, at[0] + 90)}
+    rows = [(n * media._ROOM + k, *map(float, xy[k]), 0.0, *map(int, halves[d][k])) for n, (d, xy) in images.items() for k in range(10)]
+    held = spark.createDataFrame(rows, "ref long, x float, y float, turn float, d1 long, d2 long")
+    monkeypatch.setattr(media, "descriptors", lambda _: held)
+    monkeypatch.setattr(media, "UNIT_ROWS", unit)
+    table = spark.createDataFrame([(n, b"%d" % n) for n in images], "id long, image binary")
+    found = {x.id: x.class_id for x in media.find_copies(table)[0].collect()}
+    assert found == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 6: 4, 8: 8, 9: 2}
+
+
+def test_matches_of_both_rounds_count_together(spark, monkeypatch):
+    r = np.random.default_rng(13)
+    halves, at = r.integers(-(2**62), 2**62, (6, 2)), r.uniform(20, 200, (6, 2))
+    # 1 stands before 2 and 3 in the buckets of three descriptors; in those of the others 2 leads
+    images = {1: (range(3), r.uniform(0, 4000, (6, 2))), 2: (range(6), at), 3: (range(6), at + 50)}
+    rows = [(n * media._ROOM + k, *map(float, xy[k]), 0.0, *map(int, halves[k])) for n, (ks, xy) in images.items() for k in ks]
+    held = spark.createDataFrame(rows, "ref long, x float, y float, turn float, d1 long, d2 long")
+    monkeypatch.setattr(media, "descriptors", lambda _: held)
+    table = spark.createDataFrame([(n, b"%d" % n) for n in images], "id long, image binary")
+    assert {x.id: x.class_id for x in media.find_copies(table)[0].collect()} == {1: 1, 2: 2, 3: 2}
+
+
 # ---- queries and pipeline
 
 
