@@ -6,7 +6,8 @@ import posixpath
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from plumbline.llm import common, jaccard, mixing, packing, pii, toxicity
 
@@ -31,9 +32,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """`docs`, just read from Parquet files, with the number `_place` of each row in the order of parts and rows in them."""
+    rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))  # a row a file
+    number = F.regexp_extract("_file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    before = Window.orderBy(number, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(offsets), "_file").withColumn("_place", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows that follow the mix: the mixing stage's rows tell it by their order in its files."""
     common.ship(spark)
-    return packing.pack(docs)
+    return packing.pack(in_file_order(docs), place="_place")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

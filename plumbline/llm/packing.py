@@ -132,13 +132,14 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, place: str | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of every piece; a null text has the end id alone.
 
-    Texts are encoded whole. Only lengths and checksums leave the task.
+    Texts are encoded whole. Only lengths and checksums leave the task, and the long column `place` if named.
     """
     path = path or _vocabulary_path()
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long"
+    kept = ["doc_id", place] if place else ["doc_id"]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", start long, length long, ids_crc32 long, doc_tokens long"
     end = np.asarray([END_ID], dtype="<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +157,11 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
                             row.append(k)
                             rest.append((start + low, len(piece), zlib.crc32(piece), len(ids)))
                 columns = [pa.array(c, pa.int64()) for c in zip(*rest)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                row = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), *(part.column(2 + n).take(row) for n in range(len(kept) - 1)), *columns], names=[*kept, "start", "length", "ids_crc32", "doc_tokens"])
         release()
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return docs.select("doc_id", "text", *kept[1:]).mapInArrow(cut, schema)
 
 
 def _difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -207,31 +209,57 @@ def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         k += 1
 
 
-def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
+def _in_order(number: np.ndarray, place: np.ndarray, start: np.ndarray, length: np.ndarray, whole: int) -> np.ndarray:
+    """New numbers of a group's windows, given each piece's window, `whole` windows of one piece first.
+
+    Whole windows go where their document stands; the others, by the mean place of their ids, are spread
+    evenly over the group, as each of them holds documents from all over it.
+    """
+    place = place - place.min()
+    when = np.bincount(number, weights=place * length) / np.bincount(number, weights=length)
+    rest = np.argsort(when[whole:], kind="stable")
+    when[whole + rest] = (np.arange(len(rest)) + 0.5) / max(1, len(rest)) * (place.max() + 1)
+    first = np.zeros(len(when), np.int64)
+    first[number[:whole]] = start[:whole]
+    out = np.empty(len(when), np.int64)
+    out[np.lexsort((first, when))] = np.arange(len(when))
+    return out[number]
+
+
+def pack(docs: DataFrame, path: str | None = None, place: str | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece.
 
     Pieces are dealt to groups by a hash of document and start, one group for GROUP_ROWS documents, so
     the pieces of a very long document spread over all groups. sequence_id is the group's number times
     2**31 plus the window's number in the group. Rows of equal doc_id are packed like any others.
-    """
-    groups = max(1, -(-docs.count() // GROUP_ROWS))
-    cut = pieces(docs, path).withColumn("_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    schema = cut.drop("_group").schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", sequence_id long, offset long"
 
-    def place(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    `place` names a column of row numbers from 0 on that the sequences are to follow: groups are then
+    GROUP_ROWS consecutive rows, and sequence_id ascends along them.
+    """
+    cut = pieces(docs, path, place)
+    if place:
+        cut = cut.withColumnRenamed(place, "_place").withColumn("_group", F.floor(F.col("_place") / GROUP_ROWS))
+    else:
+        groups = max(1, -(-docs.count() // GROUP_ROWS))
+        cut = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    schema = cut.drop("_group", "_place").schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", sequence_id long, offset long"
+
+    def deal(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         rows = rows.drop_columns("_group").sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         length = rows.column("length").to_numpy()
         whole = int((length == CAPACITY).sum())  # these stand first
-        base = key[0].as_py() << 31
-        sequence, offset = np.full(len(length), base) + np.arange(len(length)), np.zeros(len(length), np.int64)
+        number, offset = np.arange(len(length)), np.zeros(len(length), np.int64)
         for n, members in enumerate(windows(length[whole:].tolist())):
             at = 0
             for i in members:
-                sequence[whole + i], offset[whole + i] = base + whole + n, at
+                number[whole + i], offset[whole + i] = whole + n, at
                 at += length[whole + i]
-        return rows.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+        if place:
+            number = _in_order(number, rows.column("_place").to_numpy(), rows.column("start").to_numpy(), length, whole)
+            rows = rows.drop_columns("_place")
+        return rows.append_column("sequence_id", pa.array((key[0].as_py() << 31) + number, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    return cut.groupBy("_group").applyInArrow(place, schema)
+    return cut.groupBy("_group").applyInArrow(deal, schema)
 
 
 def op3_packing(spark, sf_dir):
