@@ -1,8 +1,8 @@
 """Exact document fingerprints: canonical text, wide xxhash digest, byte comparison inside equal digests.
 
-Everything here is a DataFrame expression. The canonical text is NFKC-composed (by the ICU library that
-Spark itself ships), lower-cased, with every run of white space folded to one blank and none at the ends.
-The fingerprint is two 64-bit xxhash values under different seeds, as 32 hexadecimal digits.
+Everything here is a DataFrame expression. The canonical text is NFKC-composed and case-folded (by the ICU
+library that Spark itself ships), composed again, with every run of white space folded to one blank and
+none at the ends. The fingerprint is two 64-bit xxhash values under different seeds, as 32 hexadecimal digits.
 """
 
 from __future__ import annotations
@@ -12,16 +12,22 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import checkpointed, table
 
-#: Documents in one stretch of the ordered ids, and the id quantiles that the stretches are laid out between.
-STRETCH, QUANTILES = 512, 128
-#: Repeated digests are broadcast up to this many (16 bytes each); beyond it the join shuffles.
+#: Documents in one stretch of the ordered ids; quantiles of the ids, and quantiles at most
+#: of the ids between two of those, that the stretches are laid out between.
+STRETCH, QUANTILES, INNER_QUANTILES = 512, 128, 64
+#: Repeated digests are broadcast up to this many (16 bytes each), and a quarter as many
+#: classes (about 64 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
 def canonical(text: Column) -> Column:
     """Canonical form of a text; a null text is like an empty one."""
-    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(composed), r"[\s\p{Z}]+", " "))
+    text = F.coalesce(text, F.lit(""))
+    icu = lambda kind, method, value: F.reflect(F.lit(f"com.ibm.icu.{kind}"), F.lit(method), value, F.lit(True))
+    compose = lambda value: icu("text.Normalizer", "compose", value)
+    # of ASCII text, the lower case is all of that
+    folded = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(compose(icu("lang.UCharacter", "foldCase", compose(text))))
+    return F.trim(F.regexp_replace(folded, r"[\s\p{Z}]+", " "))
 
 
 def halves(canon: Column) -> tuple[Column, Column]:
@@ -55,28 +61,39 @@ def exact_classes(docs: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text): the text of the document with the next smaller id; after the smallest, the largest.
 
-    Rows of equal id stand by text, descending; rows without an id come last. Null texts are empty. The
-    ids are laid out in stretches of about STRETCH documents between quantiles of the ids, so that no
-    task orders the whole table: neighbours are found inside a stretch, and the last row of a stretch
-    gets the first row of the next one that has rows.
+    Rows of equal id stand by text, descending; rows without an id come last, by a hash of the text and
+    the text. Null texts are empty. The ids are laid out in stretches of about STRETCH documents between
+    quantiles of the ids, so that no task orders the whole table: neighbours are found inside a stretch,
+    and the last row of a stretch gets the first row of the next one that has rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    count, cuts = rows.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", [k / QUANTILES for k in range(QUANTILES + 1)], 10_000)).first()
+    share = lambda n: [k / n for k in range(n + 1)]
+    count, without, cuts = rows.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", share(QUANTILES), 10_000)).first()
     cuts = sorted(set(cuts or [0]))
-    parts = max(1, -(-count // (len(cuts) * STRETCH)))
-    bounds = F.array(*(F.lit(x).cast("long") for x in cuts), F.lit(cuts[-1] + 1).cast("long"))
-    at = F.greatest(F.lit(1), F.least(F.lit(len(cuts)), F.size(F.filter(bounds, lambda b: b <= F.col("doc_id")))))
-    low, high = F.element_at(bounds, at), F.element_at(bounds, at + 1)
-    inside = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((F.col("doc_id") - low).cast("double") / (high - low).cast("double") * parts)))
-    stretch = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at.cast("long") * parts + inside)
-    dealt = rows.withColumn("stretch", stretch.cast("long")).repartition("stretch")
-    order = Window.partitionBy("stretch").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
+    above = lambda bounds, value: F.greatest(F.lit(1), F.size(F.filter(bounds, lambda b: b <= value)))
+    outer = above(F.array(*(F.lit(x).cast("long") for x in cuts)), F.col("doc_id"))
+    inner = max(1, min(INNER_QUANTILES, -(-count // (len(cuts) * STRETCH))))
+    parts = max(1, -(-count // (len(cuts) * inner * STRETCH)))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").select("doc_id", outer.alias("outer"))
+    bounds = ids.groupBy("outer").agg(F.array_sort(F.array_distinct(F.percentile_approx("doc_id", share(inner), 1_000))).alias("bounds"))  # QUANTILES + 1 rows at most
+    rows = rows.withColumn("outer", F.when(F.col("doc_id").isNotNull(), outer)).join(F.broadcast(checkpointed(bounds)), "outer", "left")
+    wide = lambda value: value.cast("double")  # noqa: E731  ids may lie further apart than a long reaches
+    at = above(F.col("bounds"), F.col("doc_id"))
+    low, high = F.get("bounds", at - 1), F.coalesce(F.get("bounds", at), F.get("bounds", at - 1))
+    inside = F.floor((wide(F.col("doc_id")) - wide(low)) / F.greatest(F.lit(1.0), wide(high) - wide(low)) * parts)
+    inside = F.greatest(F.lit(0), F.least(F.lit(parts - 1), inside))
+    cell = (F.col("outer").cast("long") * (inner + 2) + at) * parts + inside
+    lost, place = max(1, -(-without // STRETCH)), F.xxhash64("text")  # stretches of the rows without an id, below all others
+    sunk = F.least(F.lit(lost - 1), F.floor((wide(place) / 2.0**64 + 0.5) * lost)) - lost
+    rows = rows.select("doc_id", "text", F.when(F.col("doc_id").isNull(), sunk).otherwise(cell).cast("long").alias("stretch"), F.when(F.col("doc_id").isNull(), place).alias("hash"))
+    band = F.floor(F.col("stretch") / ((inner + 2) * parts)).alias("band")
+    dealt = rows.repartition("stretch")
+    order = Window.partitionBy("stretch").orderBy(F.desc_nulls_last("doc_id"), F.desc("hash"), F.desc("text"))
     placed = dealt.withColumn("following", F.lead("text").over(order))
     heads = dealt.withColumn("place", F.row_number().over(order)).where("place = 1").select("stretch", F.col("text").alias("head"))
-    # which stretch each head follows: the next below between the same quantiles, else the highest below them
-    band = F.floor(F.col("stretch") / parts).alias("band")
+    # which stretch each head follows: the next below in the same band, else the highest of the bands below
     found = dealt.select("stretch").distinct().select("stretch", band)
-    bands = found.groupBy("band").agg(F.max("stretch").alias("highest"))  # QUANTILES + 2 rows at most
+    bands = found.groupBy("band").agg(F.max("stretch").alias("highest"))  # a row for each outer quantile, and for as many stretches without ids
     bands = bands.select("band", F.lead("highest").over(Window.orderBy(F.desc("band"))).alias("lower"), F.max("highest").over(Window.partitionBy()).alias("top"))
     near = F.lead("stretch").over(Window.partitionBy("band").orderBy(F.desc("stretch")))
     links = found.withColumn("near", near).join(F.broadcast(bands), "band").select("stretch", F.coalesce("near", "lower", "top").alias("below"))
@@ -87,9 +104,9 @@ def with_next(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id, copies).
 
-    The edited text has the last half of the code points replaced from the next document. A likeness is 1
-    if the digests and then the canonical bytes are equal, else 0. class_id is the smallest id with the
-    same canonical text, copies their number.
+    A null text counts as an empty one. The edited text has the last half of the code points replaced from
+    the next document. A likeness is 1 if the digests and then the canonical bytes are equal, else 0.
+    class_id is the smallest id with the same canonical text, copies their number.
     """
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
@@ -113,8 +130,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         alike("next_text").alias("near_next"),
     )
     classes = checkpointed(exact_classes(docs).select("fingerprint", "canon_rank", "class_id", "copies"))
-    single = classes.groupBy("fingerprint").agg(F.min("class_id").alias("class_id"), F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("texts"))
-    out = out.join(single, "fingerprint", "left")
+    # cut off from its aggregate, so that Spark can split the join where very many documents share a fingerprint
+    single = checkpointed(classes.groupBy("fingerprint").agg(F.min("class_id").alias("class_id"), F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("texts")))
+    out = out.join(F.broadcast(single) if single.count() <= BROADCAST_ROWS // 4 else single, "fingerprint", "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
         F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("texts", F.lit(1)).alias("texts_of_fingerprint"),
