@@ -43,8 +43,8 @@ def release() -> None:
 
 
 def fold_of(doc_id: Column) -> Column:
-    """crc32 of the id's decimal text, modulo 3; fold 1 is held out of every fit."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3
+    """crc32 of the id's decimal text, modulo 3; fold 1 is held out of every fit. A row without an id is of fold 0."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3, F.lit(0))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -64,6 +64,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def repeatable(df: DataFrame) -> DataFrame:
+    """The same rows, such that a task that runs again reads the same ones in the same order.
+
+    A scan of files does; rows that come out of a shuffle may not, so they are written first.
+    """
+    return checkpointed(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def bounded_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """At most `n` rows of `df`, chosen by a hash of `keys`, so the same rows each time.
 

@@ -20,23 +20,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import release
+from plumbline.llm.common import release, repeatable
 
-#: Text bytes of a chunk and of a hash partition; bytes that words are hashed in at a time.
-CHUNK_BYTES, PART_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20, 1 << 20
+#: Text bytes of a chunk and of a hash partition.
+CHUNK_BYTES, PART_BYTES = 4 << 20, 8 << 20
 #: Bits of a hash that leaves its chunk.
 BITS = 56
 
 _random = np.random.default_rng(20240607)
-_VALUE = _random.integers(1, 2**64 - 1, 256, dtype=np.uint64) | np.uint64(1)
-_VALUE[65:91] = _VALUE[97:123]  # A-Z count as a-z
+_odd = lambda n: _random.integers(0, 2**64 - 1, n, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: Factor of each word of an n-gram, and what tells n-grams of different lengths apart.
-_FACTOR = _random.integers(0, 2**64 - 1, 8, dtype=np.uint64) | np.uint64(1)
-_LENGTH = _random.integers(0, 2**64 - 1, 9, dtype=np.uint64)
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))  # A-Z count as a-z
+#: The first n bytes of eight.
+_FIRST = np.asarray([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_ROUNDS = _odd(4)
+#: Factors of either half of each word of an n-gram, and what tells lengths apart, for two hashes.
+_FACTORS, _LENGTHS = _odd(32).reshape(2, 2, 8), _odd(18).reshape(2, 9)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -46,61 +46,55 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_powers_of: dict[int, np.ndarray] = {}
+class Words:
+    """The words of some texts in order: runs of bytes other than blank and 0x09-0x0D, A-Z taken for a-z.
 
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """The first n powers modulo 2**64; those for one block are kept."""
-    if len(out := _powers_of.get(base, _powers_of.setdefault(base, np.ones(1, np.uint64)))) < n:
-        out = np.full(max(n, BLOCK_BYTES), base, np.uint64)
-        out[0] = 1
-        out = np.multiply.accumulate(out)
-        if n <= 2 * BLOCK_BYTES:
-            _powers_of[base] = out
-    return out[:n]
-
-
-def word_spans(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' bytes in a row; hash, begin and end there of every word; where each text's words begin (an entry more).
-
-    Words are runs of bytes other than blank and 0x09-0x0D; their hashes take A-Z for a-z.
+    data: the texts' bytes; starts, ends: of each word there; begins: where each text's words begin (an
+    entry more than texts). low, high: 128 bits that name a word: a word of up to 16 bytes is those bytes,
+    a longer one (or one with a byte 0) its xxh3, so words of one name are equal.
     """
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
-    found, starts, ends, low = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    while low < len(data):
-        high = min(len(data), low + BLOCK_BYTES)
-        while high < len(data) and not _SPACE[data[high - 1]]:  # cut after white space
-            more = np.flatnonzero(_SPACE[data[high : high + BLOCK_BYTES]])
-            high = min(len(data), high + (int(more[0]) + 1 if len(more) else BLOCK_BYTES))
-        block = data[low:high]
-        edge = np.flatnonzero(np.diff(_SPACE[block].view(np.int8), prepend=np.int8(1), append=np.int8(1)))
-        first, last = edge[::2], edge[1::2]  # word k is block[first[k] : last[k]]
-        total = np.zeros(len(block) + 1, np.uint64)
-        np.cumsum(_VALUE[block] * _powers(_BASE, len(block)), out=total[1:])
-        found.append(mixed((total[last] - total[first]) * _powers(_INVERSE, len(block))[first]))
-        starts.append(first + low)
-        ends.append(last + low)
-        low = high
-    at = np.concatenate(starts)
-    return data, np.concatenate(found), at, np.concatenate(ends), np.searchsorted(at, begins)
-
-
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in order, and where each text's words begin (one more entry than texts)."""
-    _, words, _, _, begins = word_spans(texts)
-    return words, begins
-
-
-def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n words from each position on; fewer than n words have none."""
-    count = len(words) - n + 1
+
+    def __init__(self, texts: list[str | None]) -> None:
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        at = np.cumsum([1, *(len(r) + 1 for r in raw)])
+        self.data = b"\n".join([b"", *raw, b""]).translate(_FOLD) + bytes(16)
+        shown = np.frombuffer(self.data, np.uint8)
+        space = _SPACE[shown[:-16]]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        self.starts, self.ends = edge[::2], edge[1::2]
+        self.begins = np.searchsorted(self.starts, at)
+        size = self.ends - self.starts
+        eight = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))  # from each byte on
+        self.low = eight[self.starts] & _FIRST[np.minimum(size, 8)]
+        self.high = eight[self.starts + 8 * (size > 8)] & _FIRST[np.clip(size - 8, 0, 8)]
+        named = size > 16
+        if (zero := np.flatnonzero(shown[:-16] == 0)).size:
+            named[np.searchsorted(self.starts, zero, side="right") - 1] = True
+        where, view = np.flatnonzero(named), memoryview(self.data)
+        digests = b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(self.starts[where].tolist(), self.ends[where].tolist())])
+        self.low[where], self.high[where] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        """The 128 bits of each word spread over all bits, one to one."""
+        low, high = self.low, self.high
+        for k in range(0, 4, 2):
+            high = high ^ mixed(low + _ROUNDS[k])
+            low = low ^ mixed(high + _ROUNDS[k + 1])
+        return low, high
+
+
+def gram_hashes(halves: tuple[np.ndarray, np.ndarray], n: int, which: int = 0) -> np.ndarray:
+    """One of two hashes of the n words from each position on; fewer than n words have none."""
+    count = len(halves[0]) - n + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(count, _LENGTH[n])
-    for j in range(n):
-        total += words[j : j + count] * _FACTOR[j]
+    total = np.full(count, _LENGTHS[which, n])
+    for half, factors in zip(halves, _FACTORS[which]):
+        for j in range(n):
+            total += half[j : j + count] * factors[j]
     return mixed(total)
 
 
@@ -185,7 +179,7 @@ def with_corpus_counts(docs: DataFrame, grams: Grams, finish: Callable[[pa.Array
     finish(doc_ids, texts, totals) -> a table of `schema` for the same texts; totals by ascending hash.
     It raises if there are not as many totals as hashes.
     """
-    docs = docs.select("doc_id", "text")
+    docs = repeatable(docs.select("doc_id", "text"))
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))

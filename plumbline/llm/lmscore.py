@@ -14,18 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from plumbline.llm.common import table
-from plumbline.llm.grams import BITS, check_totals, gram_hashes, with_corpus_counts, word_hashes
+from plumbline.llm.grams import BITS, Words, check_totals, gram_hashes, with_corpus_counts
 
 ORDER, BACKOFF = 3, 0.4
 
 
 def _grams(texts: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Hashes of the n-grams from each word on, and whether they lie in one text, for n = 1..ORDER; each word's text."""
-    words, begins = word_hashes(texts)
-    owner = np.repeat(np.arange(len(texts)), np.diff(begins))
+    words = Words(texts)
+    owner, halves = np.repeat(np.arange(len(texts)), np.diff(words.begins)), words.halves()
     hashes, inside = [], []
     for n in range(1, ORDER + 1):
-        h = gram_hashes(words, n) >> np.uint64(64 - BITS)
+        h = gram_hashes(halves, n) >> np.uint64(64 - BITS)
         hashes.append(np.maximum(h, np.uint64(1)))
         inside.append(owner[: len(h)] == owner[n - 1 :] if len(h) else np.zeros(0, bool))
     return hashes, inside, owner

@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import release, slices, table
-from plumbline.llm.grams import word_spans
+from plumbline.llm.common import release, repeatable, slices, table
+from plumbline.llm.grams import Words, mixed
 
 CAPACITY = 4096
 #: Ids of the longest piece that is packed with others; a longer rest is cut into pieces of this length.
@@ -62,14 +63,15 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """No word kept: hashes ascending, each word's first place and number of ids in `ids`."""
-        self.words, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """No word kept: hashes ascending, each word's name, first place and number of ids in `ids`."""
+        self.words, self.names = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, "<u4")
 
     def _whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, names: np.ndarray, words: list[bytes]) -> None:
         """Keeps the ids of new words, given by ascending hash."""
         first, count, ids = [], [], [self.ids]
         place = len(self.ids)
@@ -83,7 +85,7 @@ class Encoder:
             ids.append(np.asarray(encoded.ids, dtype="<u4"))
             place += len(ids[-1])
         at = np.searchsorted(self.words, hashes)
-        self.words = np.insert(self.words, at, hashes)
+        self.words, self.names = np.insert(self.words, at, hashes), np.insert(self.names, at, names, axis=0)
         self.first = np.insert(self.first, at, np.concatenate(first))
         self.count = np.insert(self.count, at, np.concatenate(count))
         self.ids = np.concatenate(ids)
@@ -98,24 +100,29 @@ class Encoder:
                 out[k] = self._whole(t)
             else:
                 plain.append(k)
-        data, hashes, starts, ends, begins = word_spans([texts[k].lower() for k in plain])
-        if not len(hashes):
+        found = Words([texts[k].lower() for k in plain])
+        if not len(found):
             return out
         if len(self.words) > _KEPT_WORDS:
             self._forget()
-        words, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+        words, where, which = np.unique(found.halves()[0], return_index=True, return_inverse=True)
+        names = np.stack([found.low, found.high], axis=1)
         at = np.searchsorted(self.words, words)
         new = np.ones(len(words), bool)
         new[at < len(self.words)] = self.words[at[at < len(self.words)]] != words[at < len(self.words)]
         if new.any():
-            self._learn(words[new], [data[a:b].tobytes() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
+            self._learn(words[new], names[where[new]], [found.data[a:b] for a, b in zip(found.starts[where[new]].tolist(), found.ends[where[new]].tolist())])
             at = np.searchsorted(self.words, words)
+        # a word that only shares another's hash sends its text through the tokenizer whole
+        other = np.flatnonzero((self.names[at][which] != names).any(axis=1))
         count = self.count[at][which]
         last = np.cumsum(count)
         ids = self.ids[np.repeat(self.first[at][which] - (last - count), count) + np.arange(last[-1])]
-        cuts = np.concatenate([[0], last])[begins]
+        cuts = np.concatenate([[0], last])[found.begins]
         for k, a, b in zip(plain, cuts, cuts[1:]):
             out[k] = ids[a:b]
+        for k in {plain[n] for n in (np.searchsorted(found.begins, other, side="right") - 1).tolist()}:
+            out[k] = self._whole(texts[k])
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -133,17 +140,18 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, path: str | None = None, place: str | None = None) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens) of every piece; a null text has the end id alone.
+    """(doc_id, start, length, ids_crc32, doc_tokens, _deal) of every piece; a null text has the end id alone.
 
-    Texts are encoded whole. Only lengths and checksums leave the task, and the long column `place` if named.
+    Texts are encoded whole. Only lengths and checksums leave the task. _deal is the long column `place` if
+    named, else a hash of the piece's place in its task, so neither rows of one id nor equal rows meet.
     """
+    docs = repeatable(docs)
     path = path or _vocabulary_path()
-    kept = ["doc_id", place] if place else ["doc_id"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", start long, length long, ids_crc32 long, doc_tokens long"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, _deal long"
     end = np.asarray([END_ID], dtype="<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_many
+        encode, n, task = encoder(path).encode_many, 0, TaskContext.get().partitionId()
         for batch in batches:
             for part in slices(batch, 1, ENCODE_BYTES):
                 row, rest = [], []
@@ -156,12 +164,16 @@ def pieces(docs: DataFrame, path: str | None = None, place: str | None = None) -
                             piece = window[low : low + step]
                             row.append(k)
                             rest.append((start + low, len(piece), zlib.crc32(piece), len(ids)))
-                columns = [pa.array(c, pa.int64()) for c in zip(*rest)]
-                row = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row), *(part.column(2 + n).take(row) for n in range(len(kept) - 1)), *columns], names=[*kept, "start", "length", "ids_crc32", "doc_tokens"])
+                numbers = np.asarray(rest, np.int64).T
+                if place:
+                    deal = part.column(2).take(pa.array(row, pa.int64()))
+                else:
+                    deal = pa.array(mixed(np.arange(n, n + len(row), dtype=np.uint64) + np.uint64(task << 40)).view(np.int64))
+                n += len(row)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *map(pa.array, numbers), deal], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_deal"])
         release()
 
-    return docs.select("doc_id", "text", *kept[1:]).mapInArrow(cut, schema)
+    return docs.select("doc_id", "text", *([place] if place else [])).mapInArrow(cut, schema)
 
 
 def _difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -229,20 +241,19 @@ def _in_order(number: np.ndarray, place: np.ndarray, start: np.ndarray, length:
 def pack(docs: DataFrame, path: str | None = None, place: str | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece.
 
-    Pieces are dealt to groups by a hash of document and start, one group for GROUP_ROWS documents, so
-    the pieces of a very long document spread over all groups. sequence_id is the group's number times
-    2**31 plus the window's number in the group. Rows of equal doc_id are packed like any others.
+    Pieces are dealt to groups evenly, one group for GROUP_ROWS documents, and those of a very long
+    document spread over all groups. sequence_id is the group's number times 2**31 plus the window's
+    number in the group. Rows of equal doc_id are packed like any others; a null text is an empty one.
+    `docs` should give the same rows in the same order when a lost task is run again, as files do; if
+    there is a shuffle in its plan it is written to the shared folder first.
 
     `place` names a column of row numbers from 0 on that the sequences are to follow: groups are then
     GROUP_ROWS consecutive rows, and sequence_id ascends along them.
     """
     cut = pieces(docs, path, place)
-    if place:
-        cut = cut.withColumnRenamed(place, "_place").withColumn("_group", F.floor(F.col("_place") / GROUP_ROWS))
-    else:
-        groups = max(1, -(-docs.count() // GROUP_ROWS))
-        cut = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    schema = cut.drop("_group", "_place").schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", sequence_id long, offset long"
+    groups = 0 if place else max(1, -(-docs.count() // GROUP_ROWS))
+    cut = cut.withColumn("_group", F.floor(F.col("_deal") / GROUP_ROWS) if place else F.pmod("_deal", F.lit(groups)))
+    schema = cut.drop("_group", "_deal").schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", sequence_id long, offset long"
 
     def deal(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         rows = rows.drop_columns("_group").sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -255,9 +266,8 @@ def pack(docs: DataFrame, path: str | None = None, place: str | None = None) ->
                 number[whole + i], offset[whole + i] = whole + n, at
                 at += length[whole + i]
         if place:
-            number = _in_order(number, rows.column("_place").to_numpy(), rows.column("start").to_numpy(), length, whole)
-            rows = rows.drop_columns("_place")
-        return rows.append_column("sequence_id", pa.array((key[0].as_py() << 31) + number, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+            number = _in_order(number, rows.column("_deal").to_numpy(), rows.column("start").to_numpy(), length, whole)
+        return rows.drop_columns("_deal").append_column("sequence_id", pa.array((key[0].as_py() << 31) + number, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     return cut.groupBy("_group").applyInArrow(deal, schema)
 
