@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.llm.common import table
 from plumbline.llm.grams import BITS, Words, check_totals, gram_hashes, with_corpus_counts
@@ -67,17 +68,20 @@ def finish(doc_ids: pa.Array, texts: list, totals: np.ndarray) -> pa.Table:
         context = seen
     log = np.bincount(owner, weights=np.log10(score), minlength=len(texts)).astype(float)  # of no words it counts in whole numbers
     mean = np.divide(log, n_words, out=np.zeros(len(texts)), where=n_words > 0)
-    return pa.table({"doc_id": doc_ids, "n_words": pa.array(n_words, pa.int64()), "log_score": pa.array(log), "mean_log_score": pa.array(mean)})
+    return pa.table({"doc_id": doc_ids, "n_words": pa.array(n_words, pa.int64()), "score": pa.array(mean), "log_sum": pa.array(log)})
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score); decimal logarithms, 0 for a text without words or a null text.
+    """(doc_id, n_words, score, log_sum): the mean and the sum of the decimal logarithms of the words' scores.
 
-    Rows of equal doc_id are documents of their own.
+    Both are 0 for a null text or one without words; a text may be as long as a row may be. Rows of equal
+    doc_id are documents of their own. N-grams are told apart by 56 bits, so of n distinct ones about
+    n * n / 2**57 share a count. The documents are read twice; if there is a shuffle in their plan, they
+    are written to the shared folder first, so that a task that runs again deals them out as before.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_corpus_counts(docs, chunk_grams, finish, f"doc_id {kind}, n_words long, log_score double, mean_log_score double")
+    return with_corpus_counts(docs, chunk_grams, finish, f"doc_id {kind}, n_words long, score double, log_sum double")
 
 
 def op9_lmscore(spark, sf_dir):
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return lm_scores(table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("score", 6).alias("score"), F.round("log_sum", 6).alias("log_sum"))

@@ -247,14 +247,24 @@ def test_counts_and_keys_round_trip():
         assert (grams.decode_counts(grams.encode_counts(counts)) == counts).all()
 
 
-def test_words_are_split_on_ascii_white_space(monkeypatch):
-    monkeypatch.setattr(grams, "BLOCK_BYTES", 64)
-    texts = ["A b\tc\x0bd\x0ce", None, "", "x" * 500 + " y", "é É z", " a ", "w " * 100]
-    words, begins = grams.word_hashes(texts)
+def test_words_are_split_on_ascii_white_space():
+    texts = ["A b\tc\x0bd\x0ce", None, "", "x" * 500 + " y", "é É z", " a ", "w " * 100, "abcdefgh abcdefghi abcdefghijklmnop abcdefghijklmnopq", "nul\x00 nul"]
+    words = grams.Words(texts)
     plain = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
-    assert np.diff(begins).tolist() == [len(p) for p in plain]
-    name = {}
-    assert all(name.setdefault(w, h) == h for w, h in zip((w for p in plain for w in p), words.tolist())) and len(set(name.values())) == len(name)
+    assert np.diff(words.begins).tolist() == [len(p) for p in plain]
+    flat = [w.encode() for p in plain for w in p]
+    assert [words.data[a:b] for a, b in zip(words.starts, words.ends)] == flat
+    for names in (zip(words.low.tolist(), words.high.tolist()), zip(*(h.tolist() for h in words.halves()))):
+        seen = {}
+        assert all(seen.setdefault(w, h) == h for w, h in zip(flat, names)) and len(set(seen.values())) == len(seen)
+
+
+def test_encoder_of_words_with_one_hash(monkeypatch):
+    e = packing.Encoder(packing._vocabulary_path())
+    monkeypatch.setattr(grams.Words, "halves", lambda self: (self.low % np.uint64(7), self.high))
+    texts = ["one two three four", "five six seven eight nine ten", "one ten", ""]
+    for _ in range(2):
+        assert [i.tolist() for i in e.encode_many(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_language_model_scores(spark):
@@ -275,7 +285,7 @@ def test_language_model_scores(spark):
     out = {r.doc_id: r for r in lmscore.lm_scores(spark.createDataFrame(rows, DOCS)).collect()}
     for k, w in words.items():
         assert out[k].n_words == len(w)
-        assert out[k].log_score == pytest.approx(sum(np.log10(score(k, i, min(3, i + 1))) for i in range(len(w))), abs=1e-6)
+        assert out[k].log_sum == pytest.approx(sum(np.log10(score(k, i, min(3, i + 1))) for i in range(len(w))), abs=1e-6)
     assert lmscore.lm_scores(odd(spark)).count() == len(ODD) and lmscore.lm_scores(empty(spark)).count() == 0
 
 
