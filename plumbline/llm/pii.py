@@ -3,8 +3,8 @@
 The patterns give the base spans. The field adds spans that the patterns miss (a card number with a
 mistyped digit, an obfuscated address, a credential); it never takes a base span away. It is trained
 from a small labelled table that `training_rows` writes out from templates, and decoded by Viterbi in
-numpy batches. A chain is a stretch of tokens around a digit or an at sign: nothing else can hold a
-span, so all other tokens are outside by definition and are never decoded.
+numpy batches over all tokens of every text. Long chains are decoded in overlapping pieces, and each span
+is taken from the piece in whose core it begins.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import release, table
+from plumbline.llm.common import release, slices, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -46,6 +46,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(digits: str) -> bool:
+    """At most 255, however many zeros there are before it."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or (len(digits) == 3 and digits <= "255")
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     end, at = 0, text.find("@")
     while at >= 0:
@@ -65,7 +71,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     found = [("email", a, b) for a, b in _emails(text)]
     if not _DIGIT.search(text):
         return found
-    found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(_byte(p) for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -78,8 +84,8 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 # ---- tokens and their features
 
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
-_MIXED = re.compile(r"(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,}", re.I)
+#: A run of sixteen hexadecimal digits or more that holds a letter and a digit is one token.
+_TOKEN = re.compile(r"(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{16,}+|[^\W\d_]+|[0-9]+|\S")
 #: Words next to which a number may be personal data; anything else is seen by its shape only.
 _CUES = frozenset("at dot token key secret password card visa mastercard phone tel call fax mail email ip host address version cc by license public gnu page".split())
 
@@ -88,39 +94,68 @@ def _length(n: int) -> str:
     return str(n) if n <= 4 else "5-8" if n <= 8 else "9-12" if n <= 12 else "13-19" if n <= 19 else "20+"
 
 
+#: Shapes by number; the first two stand for the begin and the end of a text.
+_LENGTHS = ("1", "2", "3", "4", "5-8", "9-12", "13-19", "20+")
+_SHAPES = ["begin", "end", "other", *(f"9x{n}" for n in _LENGTHS), *(f"{x}{y}" for x in ("x", "X", "Xx") for y in ("", "+")), *(f"hex{n}" for n in _LENGTHS), *sorted(_CUES), *(chr(c) for c in range(33, 127) if not chr(c).isalnum())]
+_NUMBER = {shape: n for n, shape in enumerate(_SHAPES)}
+BEGIN, END, ROOM = 0, 1, 128
+#: Tokens whose shape is kept for the next time.
+_KEPT_TOKENS = 200_000
+_kept: dict[str, int] = {}
+
+
 def _shape(token: str) -> str:
+    if len(token) >= 16 and token.isascii() and token.isalnum() and not token.isalpha() and not token.isdigit():
+        return f"hex{_length(len(token))}"
     if token[0].isdigit():
-        return "9" * min(len(token), 4) if len(token) < 4 else f"9x{_length(len(token))}"
+        return f"9x{_length(len(token))}"
     if token[0].isalpha():
         low = token.lower()
         return low if low in _CUES else ("x" if token.islower() else "X" if token.isupper() else "Xx") + ("" if len(token) < 16 else "+")
-    return token if ord(token) < 128 else "?"
-
-
-def tokens(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, shape); a long run of hexadecimal digits and letters is one token."""
-    out, at = [], 0
-    while m := _TOKEN.search(text, at):
-        if h := _MIXED.match(text, m.start()):
-            out.append((h.start(), h.end(), "hex" + _length(h.end() - h.start())))
-            at = h.end()
-        else:
-            out.append((m.start(), m.end(), _shape(m.group())))
-            at = m.end()
-    return out
-
-
-def _features(toks: list[tuple[int, int, str]]) -> list[list[str]]:
-    shape = ["<", "<", *(t[2] for t in toks), ">", ">"]
-    glued = ["", *(("_" if a[1] < b[0] else "=") for a, b in zip(toks, toks[1:])), ""]
-    out = []
-    for k in range(len(toks)):
-        s, left, right = k + 2, glued[k], glued[k + 1]
-        out.append([
-            f"0 {shape[s]}", f"-1 {left}{shape[s - 1]}", f"+1 {right}{shape[s + 1]}", f"-2 {shape[s - 2]}", f"+2 {shape[s + 2]}",
-            f"-10 {shape[s - 1]}{left}{shape[s]}", f"01 {shape[s]}{right}{shape[s + 1]}", f"-2-10 {shape[s - 2]} {shape[s - 1]}{left}{shape[s]}",
-            f"012 {shape[s]}{right}{shape[s + 1]} {shape[s + 2]}",
-        ])
+    return token if token in _NUMBER else "other"
+
+
+def _shape_number(token: str) -> int:
+    if len(_kept) > _KEPT_TOKENS:
+        _kept.clear()
+    return _kept.setdefault(token, _NUMBER[_shape(token)])
+
+
+class Tokens:
+    """The tokens of a text: where they begin and end, and the numbers of their shapes; a long run of hexadecimal digits and letters is one token."""
+
+    def __init__(self, text: str) -> None:
+        places, names = [], []
+        for m in _TOKEN.finditer(text):
+            places.append(m.span())
+            names.append(m.group())
+        self.start, self.end = np.asarray(places, np.int64).reshape(-1, 2).T
+        known = _kept.get
+        self.shape = np.asarray([known(t) or _shape_number(t) for t in names], np.int64)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+
+def _features(chains: list[Tokens]) -> np.ndarray:
+    """The features of all tokens of some chains, one after the other: numbers of a template, shapes around the token and glue."""
+    edge = lambda n: np.full(2, n, np.int64)
+    shape = np.concatenate([x for c in chains for x in (edge(BEGIN), c.shape, edge(END))] or [edge(BEGIN)])
+    none = np.zeros(2, np.int64)
+    gap = np.concatenate([x for c in chains for x in (none, np.concatenate([[0], 1 + (c.end[:-1] < c.start[1:])])[: len(c)], none)] or [none])
+    inside = np.concatenate([np.arange(len(c)) + at for c, at in zip(chains, np.cumsum([2, *(len(c) + 4 for c in chains)]))] or [none[:0]]).astype(np.int64)
+    s = lambda k: shape[inside + k]
+    left, right = gap[inside], gap[np.minimum(inside + 1, len(gap) - 1)]
+    parts = [
+        (s(0),), (left, s(-1)), (right, s(1)), (s(-2),), (s(2),),
+        (s(-1), left, s(0)), (s(0), right, s(1)), (s(-2), s(-1), left, s(0)), (s(0), right, s(1), s(2)),
+    ]
+    out = np.empty((len(inside), len(parts)), np.int64)
+    for k, part in enumerate(parts):
+        number = np.full(len(inside), k, np.int64)
+        for x in part:
+            number = number * ROOM + x
+        out[:, k] = number
     return out
 
 
@@ -180,74 +215,103 @@ def training_rows(n: int = 420, seed: int = 11) -> list[tuple[str, list[tuple[st
 _PAIRS = len(LABELS)
 
 
-class Field:
-    """weights: feature number by label; moves: label by next label; first: of a chain's first label."""
-
-    def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray, first: np.ndarray) -> None:
-        self.index, self.weights, self.moves, self.first = index, weights, moves, first
+#: Tokens of a piece's core, and those read on either side of it; pieces that are decoded together.
+CORE, MARGIN, TOGETHER = 192, 32, 512
 
-    def emissions(self, toks: list[tuple[int, int, str]]) -> np.ndarray:
-        none = len(self.index)
-        return self.weights[[[self.index.get(f, none) for f in row] for row in _features(toks)]].sum(axis=1)
 
-    def decode(self, chains: list[list[tuple[int, int, str]]]) -> list[list[tuple[str, int, int]]]:
-        """Best labelling of each chain as (kind, start, end), by Viterbi over batches of chains of like length."""
-        out: list[list[tuple[str, int, int]]] = [[] for _ in chains]
-        order = sorted(range(len(chains)), key=lambda k: len(chains[k]))
-        for at in range(0, len(order), 256):
-            rows = order[at : at + 256]
-            length = np.asarray([len(chains[k]) for k in rows])
-            emit = np.zeros((len(rows), length.max(), _PAIRS))
-            for i, k in enumerate(rows):
-                emit[i, : length[i]] = self.emissions(chains[k])
-            score, back = emit[:, 0] + self.first, np.zeros(emit.shape, np.int8)
-            for t in range(1, emit.shape[1]):
-                reach = score[:, :, None] + self.moves
-                back[:, t] = reach.argmax(axis=1)
-                score = np.where((t < length)[:, None], reach.max(axis=1) + emit[:, t], score)
-            label = score.argmax(axis=1)
-            paths = np.zeros(emit.shape[:2], np.int8)
-            for t in range(emit.shape[1] - 1, -1, -1):
-                paths[:, t] = label
-                if t:
-                    label = np.where(t < length, back[np.arange(len(rows)), t, label], label)
-            for i, k in enumerate(rows):
-                out[k] = _spans(chains[k], paths[i, : length[i]])
+class Field:
+    """features: known features, ascending; weights: by feature (and a last one for unknown ones) and label; moves: label by next label; first: of a chain's first label."""
+
+    def __init__(self, features: np.ndarray, weights: np.ndarray, moves: np.ndarray, first: np.ndarray) -> None:
+        self.features = features
+        self.weights, self.moves, self.first = (x.astype(np.float32) for x in (weights, moves, first))
+
+    def emissions(self, chains: list[Tokens]) -> np.ndarray:
+        """Scores of the labels of all tokens of the chains, one after the other."""
+        total = 0
+        for column in _features(chains).T:
+            at = np.minimum(np.searchsorted(self.features, column), len(self.features) - 1)
+            total = total + self.weights[np.where(self.features[at] == column, at, len(self.features))]
+        return total
+
+    def paths(self, emit: np.ndarray, begins: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Best labels of runs of tokens of `emit`, a row each, by Viterbi; runs that begin at a text's begin are marked by a negative begin."""
+        at = np.where(begins < 0, -1 - begins, begins)
+        longest = int(length.max())
+        rows = at[:, None] + np.minimum(np.arange(longest), length[:, None] - 1)
+        scores = emit[rows]
+        score, back = scores[:, 0] + np.where((begins < 0)[:, None], self.first, 0), np.zeros(scores.shape, np.int8)
+        for t in range(1, longest):
+            reach = score[:, :, None] + self.moves
+            back[:, t] = reach.argmax(axis=1)
+            score = np.where((t < length)[:, None], reach.max(axis=1) + scores[:, t], score)
+        label = score.argmax(axis=1)
+        out = np.zeros(rows.shape, np.int8)
+        every = np.arange(len(rows))
+        for t in range(longest - 1, -1, -1):
+            out[:, t] = label
+            if t:
+                label = np.where(t < length, back[every, t, label], label)
         return out
 
-
-def _spans(toks: list[tuple[int, int, str]], path: np.ndarray) -> list[tuple[str, int, int]]:
+    def decode(self, chains: list[Tokens]) -> list[list[tuple[str, int, int]]]:
+        """Best labelling of each chain as (kind, start, end)."""
+        out: list[list[tuple[str, int, int]]] = [[] for _ in chains]
+        emit = self.emissions(chains)
+        pieces, place = [], 0  # of a chain: where it begins; its piece's first token, core's begin and end, and end
+        for k, c in enumerate(chains):
+            for low in range(0, len(c), CORE):
+                pieces.append((k, place, max(0, low - MARGIN), low, min(len(c), low + CORE), min(len(c), low + CORE + MARGIN)))
+            place += len(c)
+        pieces.sort(key=lambda p: p[5] - p[2])
+        for at in range(0, len(pieces), TOGETHER):
+            some = pieces[at : at + TOGETHER]
+            begins = np.asarray([-1 - p[1] if p[2] == 0 else p[1] + p[2] for p in some])
+            paths = self.paths(emit, begins, np.asarray([p[5] - p[2] for p in some]))
+            for row in np.flatnonzero(paths.any(axis=1)):
+                k, _, first, low, high, last = some[row]
+                out[k] += _spans(chains[k], paths[row, : last - first], first, low, high)
+        return [sorted(x, key=lambda span: span[1]) for x in out]
+
+
+def _spans(toks: Tokens, path: np.ndarray, first: int, low: int, high: int) -> list[tuple[str, int, int]]:
+    """Spans of a path from the token `first` on that begin in low .. high."""
     found: list[tuple[str, int, int]] = []
-    inside = 0
-    for (start, end, _), p in zip(toks, path):
-        p = int(p)
-        if p and p % 2 == 0 and inside == p - 1:
-            found[-1] = (found[-1][0], found[-1][1], end)
+    inside, last = 0, -1
+    for t in np.flatnonzero(path).tolist():
+        p, token = int(path[t]), first + t
+        if p % 2 == 0 and inside == p - 1 and last == t - 1:
+            last = t
+            if found and found[-1][0] == "":
+                continue
+            found[-1] = (found[-1][0], found[-1][1], int(toks.end[token]))
         elif p % 2 == 1:
-            found.append((KINDS[p // 2], start, end))
-            inside = p
+            inside, last = p, t
+            found.append((KINDS[p // 2] if low <= token < high else "", int(toks.start[token]), int(toks.end[token])))
         else:
             inside = 0
-    return found
+    return [f for f in found if f[0]]
 
 
 def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 120, ridge: float = 1e-3) -> Field:
     """Maximum conditional likelihood by gradient ascent; expectations by forward-backward over one padded batch."""
-    index: dict[str, int] = {}
-    chains = []
-    for text, spans in rows:
-        toks = tokens(text)
-        gold = [next((1 + 2 * KINDS.index(k) + (s > a) for k, a, b in spans if a <= s < b), 0) for s, _, _ in toks]
-        chains.append(([[index.setdefault(f, len(index)) for f in x] for x in _features(toks)], gold))
-    n, longest, width = len(chains), max(len(g) for _, g in chains), len(chains[0][0][0])
-    ids, gold, real = np.full((n, longest, width), len(index)), np.zeros((n, longest), int), np.zeros((n, longest), bool)
-    for k, (x, g) in enumerate(chains):
-        ids[k, : len(g)], gold[k, : len(g)], real[k, : len(g)] = x, g, True
+    toks = [Tokens(text) for text, _ in rows]
+    known, flat = np.unique(_features(toks), return_inverse=True)
+    flat = flat.reshape(-1, _features(toks[:1]).shape[1])
+    n, longest, width = len(rows), max(map(len, toks)), flat.shape[1]
+    ids, gold, real = np.full((n, longest, width), len(known)), np.zeros((n, longest), int), np.zeros((n, longest), bool)
+    place = 0
+    for k, (c, (_, spans)) in enumerate(zip(toks, rows)):
+        ids[k, : len(c)], real[k, : len(c)] = flat[place : place + len(c)], True
+        gold[k, : len(c)] = [next((1 + 2 * KINDS.index(kind) + (s > a) for kind, a, b in spans if a <= s < b), 0) for s in c.start.tolist()]
+        place += len(c)
     one_hot = np.eye(_PAIRS)[gold] * real[..., None]
     both = real[:, 1:] & real[:, :-1]
     seen_moves = np.einsum("nti,ntj->ij", one_hot[:, :-1] * both[..., None], one_hot[:, 1:])
-    params = [np.zeros((len(index) + 1, _PAIRS)), np.zeros((_PAIRS, _PAIRS)), np.zeros(_PAIRS)]
+    params = [np.zeros((len(known) + 1, _PAIRS)), np.zeros((_PAIRS, _PAIRS)), np.zeros(_PAIRS)]
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    order = np.argsort(ids.ravel(), kind="stable")
+    starts = np.searchsorted(ids.ravel()[order], np.arange(len(known) + 1))
 
     def lse(x: np.ndarray, axis: int) -> np.ndarray:
         top = x.max(axis=axis, keepdims=True)
@@ -265,14 +329,14 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 120,
             beta[:, t] = np.where(real[:, t + 1, None], lse(moves + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
         gap = one_hot - np.exp(np.minimum(0, alpha + beta - total[:, None, None])) * real[..., None]
         pair = np.exp(np.minimum(0, alpha[:, :-1, :, None] + moves + (emit + beta)[:, 1:, None, :] - total[:, None, None, None])) * both[..., None, None]
-        up = np.stack([np.bincount(ids.ravel(), weights=np.repeat(gap[..., j].ravel(), width), minlength=len(index) + 1) for j in range(_PAIRS)], axis=1)
+        up = np.add.reduceat(gap.reshape(-1, _PAIRS)[order // width], starts, axis=0)
         up[-1] = 0
         for p, g, (m, v) in zip(params, (up, seen_moves - pair.sum(axis=(0, 1)), gap[:, 0].sum(axis=0)), state):
             g = g / n - ridge * p
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p += 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Field(index, *params)
+    return Field(known, *params)
 
 
 @functools.cache
@@ -282,26 +346,8 @@ def default_field() -> Field:
 
 # ---- whole texts
 
-_ANCHOR = re.compile(r"[0-9@]")
-_REACH, _CHAIN = 48, 200
-
-
-def chains_of(text: str) -> list[list[tuple[int, int, str]]]:
-    """Token chains around each digit and at sign, _REACH characters to either side, in pieces of _CHAIN tokens."""
-    ranges: list[list[int]] = []
-    for m in _ANCHOR.finditer(text):
-        if ranges and m.start() - _REACH <= ranges[-1][1]:
-            ranges[-1][1] = m.start() + _REACH
-        else:
-            ranges.append([max(0, m.start() - _REACH), m.start() + _REACH])
-    out = []
-    for a, b in ranges:
-        if a:  # begin and end between words
-            a = next((k for k in range(a, a + _REACH) if text[k].isspace()), a)
-        b = min(b, len(text))
-        toks = [(s + a, e + a, shape) for s, e, shape in tokens(text[a:b])]
-        out += [toks[k : k + _CHAIN] for k in range(0, len(toks), _CHAIN)]
-    return [c for c in out if c]
+#: Text bytes that are decoded together.
+DECODE_BYTES = 1 << 20
 
 
 def _plausible(kind: str, value: str) -> bool:
@@ -311,25 +357,23 @@ def _plausible(kind: str, value: str) -> bool:
     return {"ip": 4 <= digits <= 12, "card": 13 <= digits <= 19, "phone": 9 <= digits <= 15, "secret": len(value) >= 16}[kind]
 
 
-def all_spans(texts: list[str | None], field: Field) -> list[list[tuple[str, int, int]]]:
-    """Base spans and the field's further ones for each text, by kind as KINDS lists them, then start.
+Spans = list[tuple[str, int, int]]
+
+
+def all_spans(texts: list[str | None], field: Field) -> tuple[list[Spans], list[Spans]]:
+    """Base spans of each text, and those with the field's further ones, by kind as KINDS lists them, then start.
 
     A further span never overlaps a base span or another further one.
     """
-    out, chains, owner = [], [], []
-    for k, t in enumerate(texts):
-        out.append(base_spans(t))
-        new = chains_of(t) if t else []
-        chains += new
-        owner += [k] * len(new)
-    taken = {k: _union(out[k]) for k in set(owner)}
-    for k, spans in zip(owner, field.decode(chains)):  # tokens are disjoint, so only base spans can be in the way
-        starts, ends = taken[k]
-        for kind, a, b in spans:
-            before = bisect.bisect_left(starts, b)
-            if (not before or ends[before - 1] <= a) and _plausible(kind, texts[k][a:b]):
-                out[k].append((kind, a, b))
-    return [sorted(s, key=lambda x: (KINDS.index(x[0]), x[1])) for s in out]
+    base = [base_spans(t) for t in texts]
+    out = []
+    for text, spans, more in zip(texts, base, field.decode([Tokens(t or "") for t in texts])):
+        if more:  # tokens are disjoint, so only base spans can be in the way
+            starts, ends = _union(spans)
+            free = lambda a, b: not (before := bisect.bisect_left(starts, b)) or ends[before - 1] <= a  # noqa: E731, B023
+            spans = sorted([*spans, *(x for x in more if free(*x[1:]) and _plausible(x[0], text[x[1] : x[2]]))], key=lambda x: (KINDS.index(x[0]), x[1]))
+        out.append(spans)
+    return base, out
 
 
 def _union(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
@@ -352,17 +396,15 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, the base spans and all spans of every text as kind:start:end, comma-joined; none for a null text.
 
-    Positions count code points, ends exclusive. The model is trained once on the driver from the
-    built-in labelled table and has a fixed size.
+    Positions count code points, ends exclusive. Rows of equal id are documents of their own. The model is
+    trained once on the driver from the built-in labelled table and has a fixed size.
     """
     field = default_field()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = part.column(1).to_pylist()
-                base, spans = [base_spans(t) for t in texts], all_spans(texts, field)
+            for part in slices(batch, 1, DECODE_BYTES):
+                base, spans = all_spans(part.column(1).to_pylist(), field)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_joined, base), pa.string()), pa.array(map(_joined, spans), pa.string())], names=["doc_id", "base", "spans"])
         release()
 
@@ -371,7 +413,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact_text(text: str | None, field: Field) -> str | None:
     """The text with each span replaced by its kind in angle brackets; overlapping spans become one mark."""
-    return _redacted(text, all_spans([text], field)[0])
+    return _redacted(text, all_spans([text], field)[1][0])
 
 
 def _redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
@@ -386,25 +428,25 @@ def _redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The same rows and columns with personal data in `text` masked; `n_chars`, if there, follows the new text.
+    """The same rows and columns with personal data in `text` masked; `n_chars`, if a whole number, follows the new text.
 
-    Rows whose text has no span come back as they are.
+    Rows whose text has no span, or is null, come back as they are.
     """
-    field = default_field()
+    field, names = default_field(), docs.columns
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
+    counted = chars >= 0 and docs.schema["n_chars"].dataType.simpleString() in ("int", "bigint")
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                columns = dict(zip(part.schema.names, part.columns))
-                texts = columns["text"].to_pylist()
-                spans = all_spans(texts, field)
+            for part in slices(batch, at, DECODE_BYTES):
+                texts, columns = part.column(at).to_pylist(), part.columns
+                _, spans = all_spans(texts, field)
                 new = [_redacted(t, s) for t, s in zip(texts, spans)]
-                columns["text"] = pa.array(new, columns["text"].type)
-                if "n_chars" in columns:
-                    old = columns["n_chars"].to_pylist()
-                    columns["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(new, spans, old)], columns["n_chars"].type)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                columns[at] = pa.array(new, columns[at].type)
+                if counted:
+                    old = part.column(chars).to_pylist()
+                    columns[chars] = pa.array([len(t) if s else n for t, s, n in zip(new, spans, old)], columns[chars].type)
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
         release()
 
     return docs.mapInArrow(masked, docs.schema)
