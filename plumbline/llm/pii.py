@@ -85,7 +85,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 # ---- tokens and their features
 
 #: A run of sixteen hexadecimal digits or more that holds a letter and a digit is one token.
-_TOKEN = re.compile(r"(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{16,}+|[^\W\d_]+|[0-9]+|\S")
+_TOKEN = re.compile(r"((?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{16,}+|[^\W\d_]+|[0-9]+|\S)")
 #: Words next to which a number may be personal data; anything else is seen by its shape only.
 _CUES = frozenset("at dot token key secret password card visa mastercard phone tel call fax mail email ip host address version cc by license public gnu page".split())
 
@@ -101,7 +101,6 @@ _NUMBER = {shape: n for n, shape in enumerate(_SHAPES)}
 BEGIN, END, ROOM = 0, 1, 128
 #: Tokens whose shape is kept for the next time.
 _KEPT_TOKENS = 200_000
-_kept: dict[str, int] = {}
 
 
 def _shape(token: str) -> str:
@@ -115,23 +114,26 @@ def _shape(token: str) -> str:
     return token if token in _NUMBER else "other"
 
 
-def _shape_number(token: str) -> int:
-    if len(_kept) > _KEPT_TOKENS:
-        _kept.clear()
-    return _kept.setdefault(token, _NUMBER[_shape(token)])
+class _ShapeNumbers(dict):
+    """The number of a token's shape, kept once it is known."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > _KEPT_TOKENS:
+            self.clear()
+        return self.setdefault(token, _NUMBER[_shape(token)])
+
+
+_shape_number = _ShapeNumbers().__getitem__
 
 
 class Tokens:
     """The tokens of a text: where they begin and end, and the numbers of their shapes; a long run of hexadecimal digits and letters is one token."""
 
     def __init__(self, text: str) -> None:
-        places, names = [], []
-        for m in _TOKEN.finditer(text):
-            places.append(m.span())
-            names.append(m.group())
-        self.start, self.end = np.asarray(places, np.int64).reshape(-1, 2).T
-        known = _kept.get
-        self.shape = np.asarray([known(t) or _shape_number(t) for t in names], np.int64)
+        parts = _TOKEN.split(text)  # what stands before each token, and the token
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        self.start, self.end = ends[:-1:2], ends[1::2]
+        self.shape = np.fromiter(map(_shape_number, parts[1::2]), np.int64, len(parts) // 2)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -176,7 +178,7 @@ def training_rows(n: int = 420, seed: int = 11) -> list[tuple[str, list[tuple[st
         if kind == "email":
             local = r.choice([name(), f"{name()}.{name()}", f"{name()}.{digits(2)}", f"{name()}{digits(1)}"])
             host = r.choice([f"mail{digits(1)}.example.com", f"{name()}.org", f"{name()}.co.uk"])
-            return kind, r.choice([f"{local}@{host}", f"{local} at {name()}{digits(1)} dot com", f"{local} [at] {name()}{digits(1)} [dot] org", f"{local} @ {host}"])
+            return kind, r.choice([f"{local}@{host}", f"{local} at {name()} dot {r.choice(['com', 'org', 'net'])}", f"{local} at {name()}{digits(1)} dot com", f"{local} [at] {name()}{digits(1)} [dot] org", f"{local} @ {host}"])
         if kind == "ip":
             parts = [str(r.randint(1, 255)) for _ in range(4)]
             return kind, r.choice([".".join(parts), ".".join(parts), "[.]".join(parts), " . ".join(parts)])
@@ -191,7 +193,7 @@ def training_rows(n: int = 420, seed: int = 11) -> list[tuple[str, list[tuple[st
         return r.choice([
             f"version {digits(1)}.", f"CC BY-NC {digits(1)}.{digits(1)}.", f"page {digits(2)}", f"{digits(4)}", f"{digits(1)}.{digits(1)}.{digits(1)}",
             f"{digits(2)},{digits(3)}", f"{digits(2)}:{digits(2)}", f"{digits(3)} km", f"{r.randint(1900, 2030)}-{digits(2)}-{digits(2)}", f"item{digits(1)}",
-            f"${digits(2)}.{digits(2)}", f"{digits(2)}%", f"@{name()}", f"at {digits(1)} {word()}",
+            f"${digits(2)}.{digits(2)}", f"{digits(2)}%", f"@{name()}", f"at {digits(1)} {word()}", f"at {word()} {word()}", f"at {word()}. {word()}", f"{word()} at {name()} {word()}",
         ])
 
     rows = []
@@ -235,23 +237,25 @@ class Field:
         return total
 
     def paths(self, emit: np.ndarray, begins: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Best labels of runs of tokens of `emit`, a row each, by Viterbi; runs that begin at a text's begin are marked by a negative begin."""
+        """Best labels of runs of tokens of `emit`, a row each, by Viterbi; a run at a text's begin has -1 minus its begin. Lengths ascend."""
         at = np.where(begins < 0, -1 - begins, begins)
         longest = int(length.max())
         rows = at[:, None] + np.minimum(np.arange(longest), length[:, None] - 1)
         scores = emit[rows]
-        score, back = scores[:, 0] + np.where((begins < 0)[:, None], self.first, 0), np.zeros(scores.shape, np.int8)
-        for t in range(1, longest):
-            reach = score[:, :, None] + self.moves
-            back[:, t] = reach.argmax(axis=1)
-            score = np.where((t < length)[:, None], reach.max(axis=1) + scores[:, t], score)
-        label = score.argmax(axis=1)
+        scores[:, 0] += np.where((begins < 0)[:, None], self.first, np.float32(0))
+        for t in range(1, longest):  # scores: from here on, of the best labelling up to a token and with its label
+            before, some = scores[:, t - 1], int(np.searchsorted(length, t, side="right"))  # the runs are in order of length
+            best = before[some:, :1] + self.moves[0]
+            for label in range(1, _PAIRS):
+                np.maximum(best, before[some:, label : label + 1] + self.moves[label], out=best)
+            scores[some:, t] += best
+            scores[:some, t] = before[:some]
+        label = scores[:, -1].argmax(axis=1)
         out = np.zeros(rows.shape, np.int8)
-        every = np.arange(len(rows))
         for t in range(longest - 1, -1, -1):
             out[:, t] = label
             if t:
-                label = np.where(t < length, back[every, t, label], label)
+                label = np.where(t < length, (scores[:, t - 1] + self.moves.T[label]).argmax(axis=1), label)
         return out
 
     def decode(self, chains: list[Tokens]) -> list[list[tuple[str, int, int]]]:
@@ -313,25 +317,25 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 120,
     order = np.argsort(ids.ravel(), kind="stable")
     starts = np.searchsorted(ids.ravel()[order], np.arange(len(known) + 1))
 
-    def lse(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
-
     for step in range(1, rounds + 1):
         weights, moves, first = params
         emit = weights[ids].sum(axis=2)
-        alpha, beta = np.zeros(emit.shape), np.zeros(emit.shape)
-        alpha[:, 0] = emit[:, 0] + first
+        # forward and backward in shares of each token's total
+        odds, go = np.exp(emit - emit.max(axis=2, keepdims=True)), np.exp(moves - moves.max())
+        share = lambda x: x / x.sum(axis=-1, keepdims=True)
+        alpha, beta = np.empty(emit.shape), np.ones(emit.shape)
+        alpha[:, 0] = share(odds[:, 0] * np.exp(first - first.max()))
         for t in range(1, longest):
-            alpha[:, t] = np.where(real[:, t, None], lse(alpha[:, t - 1, :, None] + moves, 1) + emit[:, t], alpha[:, t - 1])
-        total = lse(alpha[:, -1], 1)
+            alpha[:, t] = np.where(real[:, t, None], share(alpha[:, t - 1] @ go * odds[:, t]), alpha[:, t - 1])
         for t in range(longest - 2, -1, -1):
-            beta[:, t] = np.where(real[:, t + 1, None], lse(moves + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
-        gap = one_hot - np.exp(np.minimum(0, alpha + beta - total[:, None, None])) * real[..., None]
-        pair = np.exp(np.minimum(0, alpha[:, :-1, :, None] + moves + (emit + beta)[:, 1:, None, :] - total[:, None, None, None])) * both[..., None, None]
+            beta[:, t] = np.where(real[:, t + 1, None], share(odds[:, t + 1] * beta[:, t + 1] @ go.T), 1)
+        gap = one_hot - share(alpha * beta) * real[..., None]
+        after = (odds * beta)[:, 1:] * both[..., None]
+        total = ((alpha[:, :-1] @ go) * after).sum(axis=2, keepdims=True)
+        pair = go * np.einsum("nti,ntj->ij", alpha[:, :-1] / np.where(total > 0, total, 1), after, optimize=True)
         up = np.add.reduceat(gap.reshape(-1, _PAIRS)[order // width], starts, axis=0)
         up[-1] = 0
-        for p, g, (m, v) in zip(params, (up, seen_moves - pair.sum(axis=(0, 1)), gap[:, 0].sum(axis=0)), state):
+        for p, g, (m, v) in zip(params, (up, seen_moves - pair, gap[:, 0].sum(axis=0)), state):
             g = g / n - ridge * p
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -352,8 +356,8 @@ DECODE_BYTES = 1 << 20
 
 def _plausible(kind: str, value: str) -> bool:
     digits = sum(c.isdigit() for c in value)
-    if kind == "email":
-        return "@" in value or " at " in value or "[at]" in value
+    if kind == "email":  # no address is longer
+        return len(value) <= 254 and ("@" in value or " at " in value or "[at]" in value)
     return {"ip": 4 <= digits <= 12, "card": 13 <= digits <= 19, "phone": 9 <= digits <= 15, "secret": len(value) >= 16}[kind]
 
 

@@ -89,8 +89,8 @@ def test_viterbi_is_the_best_of_all_labellings():
     labels = len(pii.LABELS)
     field = pii.Field(np.zeros(1, np.int64), np.zeros((2, labels)), r.normal(size=(labels, labels)), r.normal(size=labels))
     emit = r.normal(size=(8, labels)).astype(np.float32)
-    paths = field.paths(emit, np.asarray([-1, 4]), np.asarray([4, 3]))
-    for path, first, n in ((paths[0], 0, 4), (paths[1], 4, 3)):
+    paths = field.paths(emit, np.asarray([4, -1]), np.asarray([3, 4]))
+    for path, first, n in ((paths[1], 0, 4), (paths[0], 4, 3)):
         score = lambda p: sum(emit[first + t, x] for t, x in enumerate(p)) + sum(field.moves[x, y] for x, y in zip(p, p[1:])) + (field.first[p[0]] if first == 0 else 0)  # noqa: E731, B023
         every = np.stack(np.meshgrid(*[np.arange(labels)] * n, indexing="ij"), -1).reshape(-1, n)
         best = max(every.tolist(), key=score)
