@@ -2,7 +2,7 @@
 
 A text becomes a unit vector of hashed character n-gram TF-IDF values. Training vectors of each
 language are clustered by spherical k-means into a few centroids; a text takes the language of the
-centroid with the largest cosine. A text further from its centroid than nearly all of that centroid's
+centroid with the largest cosine, the first by name if several have it. A text further from its centroid than nearly all of that centroid's
 training texts is flagged as rejected.
 """
 
@@ -17,14 +17,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fold_of, release, table
+from plumbline.llm.common import checkpointed, fold_of, release, table
 
 NGRAMS = (1, 2, 3)
 BITS = 14
 CENTROIDS = 3
-#: Bounds of the fit: languages (the most frequent ones are learned), rows of each, rows in all, characters of a row.
-MAX_LANGUAGES, MAX_ROWS, MAX_FIT_ROWS, MAX_FIT_CHARS = 200, 1000, 8000, 20_000
+#: Bounds of the fit: rows of a language, and rows in all unless that leaves fewer than LEAST_ROWS for a language.
+MAX_ROWS, MAX_FIT_ROWS, LEAST_ROWS = 1000, 8000, 20
 ROUNDS = 8
+#: Languages whose shares are broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 100_000
 #: A text is rejected below this quantile of the cosines that a centroid's own training texts have.
 REJECT_QUANTILE = 0.01
 
@@ -56,8 +58,7 @@ class LanguageModel:
     language: np.ndarray
     floor: np.ndarray
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        seen, n = counts(text)
+    def vector(self, seen: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         value = (1.0 + np.log(n)) * self.idf[seen]
         return seen, value / max(1e-12, float(np.sqrt(np.dot(value, value))))
 
@@ -65,7 +66,7 @@ class LanguageModel:
         """Language, cosine of the nearest centroid in [0, 1], and whether that is too far."""
         if not self.names or not text or not _LETTER.search(text):
             return "und", 0.0, True
-        seen, value = self.vector(text)
+        seen, value = self.vector(*counts(text))
         cosine = value @ self.by_feature[seen]
         best = int(np.argmax(cosine))
         near = float(min(1.0, max(0.0, cosine[best])))
@@ -76,15 +77,19 @@ class LanguageModel:
 
 
 def fit(texts: list[str], langs: list[str]) -> LanguageModel:
-    """Without rows nothing is learned and every text is `und`."""
+    return fit_counts([counts(t) for t in texts], langs)
+
+
+def fit_counts(found: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> LanguageModel:
+    """A model from the n-gram counts of texts. Without rows nothing is learned and every text is `und`."""
     names = sorted(set(langs))
     df = np.zeros(1 << BITS)
-    for t in texts:
-        df[counts(t)[0]] += 1
-    model = LanguageModel(names, np.log((1 + len(texts)) / (1 + df)) + 1, np.zeros((0, 1 << BITS)), np.zeros(0, int), np.zeros(0))
+    for seen, _ in found:
+        df[seen] += 1
+    model = LanguageModel(names, np.log((1 + len(found)) / (1 + df)) + 1, np.zeros((0, 1 << BITS)), np.zeros(0, int), np.zeros(0))
     rows, language, floor = [], [], []
     for k, name in enumerate(names):
-        sparse = [model.vector(t) for t, lang in zip(texts, langs) if lang == name]
+        sparse = [model.vector(*x) for x, lang in zip(found, langs) if lang == name]
         size = min(CENTROIDS, len(sparse))
         flat, owner = np.concatenate([s for s, _ in sparse]), np.repeat(np.arange(len(sparse)), [len(s) for s, _ in sparse])
         value = np.concatenate([v for _, v in sparse])
@@ -99,7 +104,7 @@ def fit(texts: list[str], langs: list[str]) -> LanguageModel:
             group = moved
         best = cosine.max(axis=0)
         for c in range(size):
-            rows.append(centre[c])
+            rows.append(centre[c].astype(np.float32))
             language.append(k)
             floor.append(float(np.quantile(best[group == c], REJECT_QUANTILE)) if (group == c).any() else 1.0)
     if not rows:
@@ -110,30 +115,35 @@ def fit(texts: list[str], langs: list[str]) -> LanguageModel:
 def fit_frames(docs: DataFrame) -> LanguageModel:
     """Learns from (doc_id, text, lang) outside the held-out fold; rows without a text, letter or language are left out.
 
-    The languages and their row counts are counted over all rows, then up to MAX_ROWS rows of each, and
-    MAX_FIT_ROWS in all, are taken by a hash of the id.
+    Every language with a usable row is learned: the rows of each are counted, then up to MAX_ROWS of each,
+    and MAX_FIT_ROWS in all, or LEAST_ROWS of each if that is more, are taken by a hash of the id. Texts are
+    read whole, on the executors; the n-gram counts of one text have a fixed bound.
     """
-    usable = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND doc_id IS NOT NULL").where(fold_of(F.col("doc_id")) != 1)
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    each = min(MAX_ROWS, MAX_FIT_ROWS / max(1, sizes.count()))
+    usable = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND doc_id IS NOT NULL").where(fold_of(F.col("doc_id")) != 1).where(F.col("text").rlike(r"\p{L}"))
+    sizes = checkpointed(usable.groupBy("lang").count())
+    known = sizes.count()
+    each = min(MAX_ROWS, max(LEAST_ROWS, MAX_FIT_ROWS // max(1, known)))
     bar = sizes.select("lang", F.least(F.lit(1.0), F.lit(0.95 * each) / F.col("count")).alias("_share"))
-    rows = (
-        usable.where(F.length("text") <= MAX_FIT_CHARS)
-        .where(F.col("text").rlike(r"\p{L}"))
-        .join(F.broadcast(bar), "lang")
-        .where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.col("_share") * (1 << 30))
-        .select("doc_id", "text", "lang")
-        .limit(MAX_FIT_ROWS)
-        .toArrow()
-        .sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    )
-    return fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [counts(t.as_py()) for t in batch.column(2)]
+            seen, n = ([x[k].astype(kind).tobytes() for x in found] for k, kind in enumerate(("<u2", "<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(seen, pa.binary()), pa.array(n, pa.binary())], names=["doc_id", "lang", "seen", "n"])
+        release()
+
+    chosen = usable.join(F.broadcast(bar) if known <= BROADCAST_ROWS else bar, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
+    chosen = chosen.select("doc_id", "lang", "text").limit(max(MAX_FIT_ROWS, each * known))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = chosen.mapInArrow(pack, f"doc_id {kind}, lang string, seen binary, n binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("seen", "ascending"), ("n", "ascending")])
+    found = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<u4")) for a, b in zip(rows.column("seen").to_pylist(), rows.column("n").to_pylist())]
+    return fit_counts(found, rows.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """`docs` with lang_pred, lang_score and lang_rejected after its own columns.
 
-    A null text, or one without a letter, is `und` with score 0 and rejected. Columns of `docs` that
+    Rows of equal id are judged each for itself. A null text, or one without a letter, is `und` with score 0 and rejected. Columns of `docs` that
     have one of the three names are replaced.
     """
     added = ["lang_pred", "lang_score", "lang_rejected"]
