@@ -1,8 +1,9 @@
 """URL filter: prefix rules first, gradient-boosted trees on lexical features for all other URLs.
 
-The trees are fitted on labelled URLs: a short built-in list of typical spam and ordinary addresses, and
-a bounded sample of the table's own URLs that a rule covers, each labelled with the rule's verdict.
-Features are length, depth, digit ratio, entropy, parameter counts and statistics of the host's suffix.
+The trees are fitted on labelled URLs: a built-in table that is written out from how spam and ordinary
+addresses are commonly made, and a bounded sample of the table's own URLs that a rule covers, each labelled
+with the rule's verdict. Features are lexical only: length, depth, digit ratio, entropy, parameter counts
+and statistics of the host's suffix; none looks a word up.
 """
 
 from __future__ import annotations
@@ -27,11 +28,6 @@ TREES, DEPTH, RATE, BINS, LEAST = 60, 3, 0.2, 32, 8
 _HOST = re.compile(r"://([^/?#]*)")
 _ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
-#: Labelled addresses: words of hosts and paths, by label (1: block).
-SPAM_WORDS = "casino win bets free cheap pills spam farm ads track adult xxx loan credit viagra lottery bonus click prize porn escort replica torrent crack warez slots poker".split()
-PLAIN_WORDS = "news blog docs wiki university museum library recipe garden weather history science journal council school hospital theatre archive forum support".split()
-
-
 def split(url: str | None) -> tuple[str, str]:
     """Host (A-Z lower-cased) and path of a URL; both empty for null or a text without ``://``."""
     m = _HOST.search(url or "")
@@ -70,14 +66,9 @@ def _suffix(host: str) -> str:
     return host.rsplit(".", 1)[-1]
 
 
-def _section(host: str, path: str) -> str:
-    """Suffix of the host and first segment of the path, as in `com/de`."""
-    return f"{_suffix(host)}/{path[1:].partition('/')[0]}" if "/" in path[1:] else f"{_suffix(host)}/"
-
-
 @dataclass
 class UrlModel:
-    """bias and trees of (feature, cut, value) nodes in heap order; suffixes: smoothed share of blocked URLs by host suffix and by section."""
+    """bias and trees of (feature, cut, value) nodes in heap order; suffixes: smoothed share of blocked URLs by host suffix."""
 
     bias: float
     suffixes: dict[str, float]
@@ -86,15 +77,16 @@ class UrlModel:
     def features(self, url: str | None) -> list[float]:
         host, path = split(url)
         rest = url or ""
-        labels = host.split(".")
-        query = rest.partition("?")[2].partition("#")[0]
-        words = re.findall(r"[a-z]+", host + path.lower())
+        labels, query = host.split("."), rest.partition("?")[2].partition("#")[0]
+        name = max(labels, key=len)
+        values = [x.partition("=")[2] for x in query.split("&")] if query else []
+        vowels = sum(c in "aeiouy" for c in name)
         return [
-            len(rest), len(host), len(path), len(labels), path.count("/"), host.count("-"),
-            sum(c.isdigit() for c in rest) / max(1, len(rest)), sum(c.isdigit() for c in host) / max(1, len(host)),
-            _entropy(host), _entropy(path), query.count("=") if query else 0, "#" in rest, rest.startswith("https"),
-            self.suffixes.get(_suffix(host), self.suffixes.get("", 0.5)), self.suffixes.get(_section(host, path), self.suffixes.get("", 0.5)), max(map(len, labels)),
-            sum(w in _SPAM for w in words), sum(w in _PLAIN for w in words), any(c.isdigit() for c in path.rsplit("/", 1)[-1]),
+            len(rest), len(host), len(path), len(query), len(labels), len(name), path.count("/"), host.count("-"), path.count("-") + path.count("_"),
+            sum(c.isdigit() for c in rest) / max(1, len(rest)), sum(c.isdigit() for c in host) / max(1, len(host)), sum(c.isdigit() for c in path) / max(1, len(path)),
+            _entropy(host), _entropy(path), _entropy(query), _entropy(name), len(values), max(map(len, values), default=0), rest.count("%"),
+            "#" in rest, rest.startswith("https"), "@" in rest, host.replace(".", "").isdigit(), vowels / max(1, len(name)),
+            max((len(x) for x in re.findall(r"[^aeiouy0-9.-]+", name)), default=0), self.suffixes.get(_suffix(host), self.suffixes.get("", 0.5)),
         ]
 
     def block_probability(self, urls: list[str | None]) -> np.ndarray:
@@ -108,23 +100,34 @@ class UrlModel:
         return 1 / (1 + np.exp(-z))
 
 
-_SPAM, _PLAIN = frozenset(SPAM_WORDS), frozenset(PLAIN_WORDS)
-
+def built_in_labels(n: int = 2400, seed: int = 3) -> list[tuple[str, int]]:
+    """The built-in labelled URLs, half of them spam (1), the same for the same seed.
 
-def built_in_labels(seed: int = 3) -> list[tuple[str, int]]:
-    """The built-in labelled URLs: every word of the two lists in several address forms."""
+    Ordinary hosts are one or two syllabic names, seldom with a hyphen, and a short path; spam hosts chain
+    names by hyphens, carry digits and random letters, or are bare numbers, and their URLs often carry long,
+    coded parameters.
+    """
     r = np.random.default_rng(seed)
-    out = []
-    for words, label in ((SPAM_WORDS, 1), (PLAIN_WORDS, 0)):
-        for a in words:
-            for _ in range(8):
-                b, ending, lead = r.choice(words), r.choice(["com", "net", "info", "biz"] if label else ["com", "net", "org", "edu"]), r.choice(["", "www.", "m.", "blog."])
-                tail = r.choice(["", "/", f"/en/{r.integers(1, 9999)}", f"/{b}/{r.integers(1, 9999)}.html", f"/{b}?page={r.integers(1, 9)}&ref=x"])
-                out.append((f"http{r.choice(['', 's'])}://{lead}{a}-{b}.example.{ending}{tail}" if label or r.random() < 0.5 else f"https://{lead}{a}.example.{ending}{tail}", label))
-    for _ in range(900):  # made-up names without a known word
-        name = "".join(r.choice(list("abdehilnorstuw"), r.integers(4, 9)))
-        out.append((f"http{r.choice(['', 's'])}://{r.choice(['', 'www.', 'm.', 'blog.'])}{name}.example.{r.choice(['com', 'net', 'org'])}/{r.choice(['en', 'es', 'fr', 'de'])}/{r.integers(1, 9999)}{r.choice(['', '/', '.html', '#top'])}", 0))
-    return out
+    pick = lambda *items: items[r.integers(len(items))]
+    name = lambda: "".join(pick("b", "d", "f", "g", "l", "m", "n", "p", "r", "s", "t", "v", "st", "tr", "ch") + pick("a", "e", "i", "o", "u", "ea", "er", "on") for _ in range(r.integers(2, 5)))
+    code = lambda k, letters="abcdefghijklmnopqrstuvwxyz0123456789": "".join(pick(*letters) for _ in range(k))
+    page = lambda: pick("", "/", f"/{name()}", f"/{name()}/", f"/{name()}/{name()}", f"/{name()}-{name()}.html", f"/{pick('en', 'es', 'fr', 'de')}/{r.integers(1, 9999)}", f"/{r.integers(1990, 2030)}/{r.integers(10, 13)}/{name()}", f"/{name()}?page={r.integers(1, 30)}", f"/{name()}.html#{name()}")
+
+    def spam() -> str:
+        host = pick(
+            "-".join(name() for _ in range(r.integers(2, 6))), f"{name()}-{name()}{r.integers(10, 99999)}", code(r.integers(10, 22)), f"{name()}{r.integers(100, 10**6)}",
+            f"{code(r.integers(5, 12))}.{name()}-{name()}-{r.integers(2, 999)}", f"{name()}-{code(4, '0123456789')}-{name()}-{name()}",
+        ) + "." + pick("com", "net", "info", "biz", "top", "xyz", "click", "ru", "org")
+        if r.random() < 0.1:
+            host = ".".join(str(x) for x in r.integers(1, 255, 4))
+        tail = pick(page(), f"/{code(r.integers(8, 30))}", f"/{name()}?id={code(16)}&ref={code(8)}&u={code(20)}", f"/?{code(3)}={code(24)}&{code(2)}={code(12)}", f"/{name()}/{code(12)}.php?{code(4)}={r.integers(10**6, 10**9)}")
+        return f"http{pick('', '', 's')}://{pick('', '', 'www.', 'm.')}{host}{tail}"
+
+    def plain() -> str:
+        host = (f"{name()}-{name()}" if r.random() < 0.04 else pick(name(), name(), f"{name()}.{name()}", f"{name()}.example")) + "." + pick("com", "com", "net", "org", "org", "edu", "de", "fr", "co.uk", "info")
+        return f"http{pick('', 's', 's')}://{pick('', 'www.', 'blog.', 'm.')}{host}{page()}"
+
+    return [(spam(), 1) if k % 2 else (plain(), 0) for k in range(n)]
 
 
 def fit(rows: list[tuple[str, int]]) -> UrlModel:
@@ -134,11 +137,9 @@ def fit(rows: list[tuple[str, int]]) -> UrlModel:
         return UrlModel(0.0, {})
     stats: dict[str, list[float]] = {}
     for url, label in rows:
-        host, path = split(url)
-        for key in (_suffix(host), _section(host, path)):
-            s = stats.setdefault(key, [0.0, 0.0])
-            s[0] += label
-            s[1] += 1
+        s = stats.setdefault(_suffix(split(url)[0]), [0.0, 0.0])
+        s[0] += label
+        s[1] += 1
     rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     model = UrlModel(float(np.log(rate / (1 - rate))), {k: (b + 10 * rate) / (n + 10) for k, (b, n) in stats.items()} | {"": rate})
     x = np.asarray([model.features(u) for u, _ in rows], dtype=float)
@@ -181,7 +182,7 @@ def fit_frames(pages: DataFrame, rules=RULES, max_rows: int = MAX_FIT) -> UrlMod
 def judge(pages: DataFrame, model: UrlModel, rules=RULES) -> DataFrame:
     """`pages` with host, path, rule, block_probability and verdict after its own columns.
 
-    A null URL, or one without ``://``, has an empty host and path, fits no rule and is judged by the
+    Rows of equal id are judged each for itself; a URL may be as long as a row may be. A null URL, or one without ``://``, has an empty host and path, fits no rule and is judged by the
     model like any other. Columns of `pages` that have one of the five names are replaced.
     """
     added = ["host", "path", "rule", "block_probability", "verdict"]
