@@ -13,39 +13,46 @@ from plumbline.llm import common, jaccard, mixing, packing, pii, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject; it is fitted on `labels` and the raw documents."""
+    """Documents that the toxicity classifier does not reject; it is fitted on `labels` and the raw documents.
+
+    A null or empty text is scored as one without features, rows of equal id each for itself.
+    """
     model = toxicity.fit_frames(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shingle similarity, the one of the smallest id; documents without words all stay."""
     common.ship(spark)
     return jaccard.keep_one(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents, personal data in their texts replaced by its kind; null texts stay null."""
     common.ship(spark)
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents in the order of the mix of their sources; a null source is a source of its own."""
     return mixing.mix(docs)
 
 
 def in_file_order(docs: DataFrame) -> DataFrame:
-    """`docs`, just read from Parquet files, with the number `_place` of each row in the order of parts and rows in them."""
-    rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))  # a row a file
-    number = F.regexp_extract("_file", r"part-(\d+)[^/]*$", 1).try_cast("long")
-    before = Window.orderBy(number, "_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(offsets), "_file").withColumn("_place", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+    """(doc_id, text, place) of `docs`, just read from Parquet files: place numbers the rows in the order of parts and rows in them."""
+    of = docs.metadataColumn("_metadata")
+    rows = docs.select("doc_id", "text", of["file_path"].alias("file"), of["row_index"].alias("row"))
+    files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))  # a row a file
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(offsets), "file").select("doc_id", "text", (F.col("before") + F.col("row")).alias("place"))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows that follow the mix: the mixing stage's rows tell it by their order in its files."""
+    """Windows that follow the mix: the mixing stage's rows tell it by their order in its files. A null text is an empty one."""
     common.ship(spark)
-    return packing.pack(in_file_order(docs), place="_place")
+    return packing.pack(in_file_order(docs), place="place")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
