@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
+import contextlib
 import shlex
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.errors import EngineError, InvalidArgument, NotFound, NotSupported
 from plumbline.functions import scalars, similarity
 from plumbline.operators import changelog, veracity
 from plumbline.operators.predicates import VERACITY
 from plumbline.plans import dialect
 from plumbline.session import ship
-from plumbline.sources.logs import Log
-from plumbline.sources.tables import InvalidArgument, NotFound, Tables
+from plumbline.sources.logs import Generations
+from plumbline.sources.tables import Tables
 
 
 class Engine:
-    """Reads return DataFrames; a key that is absent gives no row. One engine writes a log at a time."""
+    """Reads return DataFrames; a key that is absent gives no row. One engine writes a log at a time.
+
+    What was written is there again for the next engine on the same folder, flushed, compacted or not.
+    """
 
     def __init__(self, spark: SparkSession, path: str, create_if_missing: bool = True, error_if_exists: bool = False, enable_python: bool = True) -> None:
         self.spark, self.enable_python = ship(spark), enable_python
         self.tables = Tables(spark, f"{path}/tables")
-        self._base = f"{path}/log"
-        self.log = Log(spark, f"{self._base}/{0:06d}", create_if_missing, error_if_exists)
-        self._generation, self._next = 0, self.log.last_seq() + 1
+        self._generations = Generations(spark, f"{path}/log")
+        self.log, self._next = self._generations.open(create_if_missing, error_if_exists)
         self.procedures: dict[str, Callable] = {}
         similarity.register(spark)
 
@@ -37,15 +41,16 @@ class Engine:
         if isinstance(plan, dialect.Create):
             return self.tables.create(plan.table, plan.columns)
         if isinstance(plan, dialect.Insert):
-            self._views()
-            n = self.tables.insert(plan.table, self.spark.sql(plan.query), plan.columns, 1.0 if plan.veracity is None else plan.veracity)
+            with self._views():
+                rows = self.spark.sql(plan.query)
+            n = self.tables.insert(plan.table, rows, plan.columns, 1.0 if plan.veracity is None else plan.veracity)
             return self.spark.createDataFrame([(n,)], "inserted bigint")
         if isinstance(plan, dialect.Delete):
             before = self.tables.read(plan.table).count()
             self.tables.delete(plan.table, plan.predicate)
             return self.spark.createDataFrame([(before - self.tables.read(plan.table).count(),)], "deleted bigint")
-        self._views()
-        out = self.spark.sql(plan)
+        with self._views():
+            out = self.spark.sql(plan)
         star = any(t.text == "*" for t in dialect.tokens(plan)) and VERACITY.upper() not in {t.word() for t in dialect.tokens(plan)[: self._from(plan)]}
         return veracity.visible(out) if star else out
 
@@ -54,10 +59,17 @@ class Engine:
         toks = dialect.tokens(text)
         return next((k for k, t in enumerate(toks) if t.word() == "FROM"), len(toks))
 
-    def _views(self) -> None:
-        for name in self.tables.names():
-            if self.tables.exists(name):
-                self.tables.read(name).createOrReplaceTempView(name)
+    @contextlib.contextmanager
+    def _views(self) -> Iterator[None]:
+        """The tables under their names, while a statement is analysed."""
+        names = [n for n in self.tables.names() if self.tables.exists(n)]
+        for name in names:
+            self.tables.read(name).createOrReplaceTempView(name)
+        try:
+            yield
+        finally:
+            for name in names:
+                self.spark.catalog.dropTempView(name)
 
     # ---- key-value log
 
@@ -94,9 +106,7 @@ class Engine:
 
     def compact(self, horizon: int | None = None) -> None:
         """Rewrites the log without entries that reads at or after `horizon` cannot see."""
-        self._generation += 1
-        entries = changelog.compacted(self.log.read(), horizon)
-        self.log = self.log.rewrite(entries, f"{self._base}/{self._generation:06d}")
+        self.log = self._generations.rewrite(self.log, changelog.compacted(self.log.read(), horizon), self._next)
 
     # ---- procedures and commands
 
@@ -104,12 +114,24 @@ class Engine:
         self.procedures[name] = procedure
 
     def call(self, name: str, **arguments):
-        """Runs a registered procedure with this engine as its first argument; scripts as text are not run."""
+        """Runs a registered procedure with this engine as its first argument; scripts as text are not run.
+
+        What the procedure raises comes back as InvalidArgument with its text.
+        """
         if not self.enable_python:
-            raise InvalidArgument("procedures are switched off")
+            raise NotSupported("procedures are switched off")
         if name not in self.procedures:
             raise NotFound(f"procedure not found: {name}")
-        return self.procedures[name](self, **arguments)
+        try:
+            return self.procedures[name](self, **arguments)
+        except EngineError:
+            raise
+        except Exception as e:
+            raise InvalidArgument(f"{name}: {type(e).__name__}: {e}") from e
+
+    def reset(self) -> None:
+        """Forgets all registered procedures."""
+        self.procedures.clear()
 
     def execute(self, command: str) -> DataFrame | str | int:
         """A command line: GET k [field | AS OF n | n], PUT/SET k v, DEL/DELETE k, EXISTS k, PING, STATUS/INFO, FLUSH, COMPACT, EXEC name."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import kept
+
 
 def point_lookup(df: DataFrame, key: str, value) -> DataFrame:
     """Rows with that key: an equality that reaches the Parquet scan. None is a missing key."""
@@ -47,5 +49,13 @@ def merge_runs(*runs: DataFrame, order: list[str]) -> DataFrame:
 
 
 def positions(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame:
-    """Rows numbered from 1 in an order. For results that a range or a limit has made small: one task numbers them."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    """Rows numbered from 1 in an order: sorted by ranges, numbered in each and moved up by the rows of the ranges before.
+
+    The sorted rows are kept in the shared folder, as their numbers need them to stay where they are.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()  # the range's number, and from bit 33 down the row's in it
+    rows = kept(placed.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.shiftright(at, 33).alias("range"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = rows.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return rows.join(F.broadcast(offsets), "range").select("row.*", (F.col("offset") + F.col("nth") + 1).alias(name))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import posixpath
 import tempfile
 import uuid
@@ -9,10 +10,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.engine import Engine
 from plumbline.functions import scalars
 from plumbline.functions import similarity as sim
 from plumbline.operators import changelog, relational, veracity
 from plumbline.operators import predicates as p
+from plumbline.plans import dialect
 from plumbline.plans.rewrites import with_distinct_value
 from plumbline.session import ship
 from plumbline.sources.logs import Log
@@ -240,13 +243,10 @@ def fuzzy_topk(t):
 
 @query(_names_sql("p_partkey, p_name", "jw >= 0.85 AND p_size > 10"))
 def sql_fuzzy(t):
-    from plumbline.plans import dialect
-
     part = t("part")
     sim.register(part.sparkSession)
-    view = f"part_{uuid.uuid4().hex}"
-    part.createOrReplaceTempView(view)
-    return part.sparkSession.sql(dialect.parse(f"SELECT p_partkey, p_name FROM {view} WHERE p_size > 10 AND p_name FUZZY LIKE '{PATTERN}' WITH THRESHOLD 0.85"))
+    text = f"SELECT p_partkey, p_name FROM {{part}} WHERE p_size > 10 AND p_name FUZZY LIKE '{PATTERN}' WITH THRESHOLD 0.85"
+    return part.sparkSession.sql(dialect.parse(text), part=part)
 
 
 # ---- confidence
@@ -285,13 +285,13 @@ def _tables(t) -> tuple[Tables, SparkSession]:
     return Tables(spark, scratch(spark)), spark
 
 
-@query("SELECT * FROM (VALUES (1, 'Alice', 22, 1.0::DOUBLE), (2, 'Jon', 21, 0.9::DOUBLE)) AS v(id, name, age, veracity)")
+@query("SELECT * FROM (VALUES (3, 'Heron', 31, 1.0::DOUBLE), (5, 'Otter', 18, 0.9::DOUBLE)) AS v(id, name, length, veracity)")
 def insert_values(t):
     tables, spark = _tables(t)
-    tables.create("students", "id int, name string, age int")
-    tables.insert("students", spark.sql("VALUES (1, 'Alice', 22)"))
-    tables.insert("students", spark.sql("VALUES (2, 'Jon', 21)"), v=0.9)
-    return tables.read("students").select("id", "name", "age", F.round(F.col(p.VERACITY).cast("double"), 6).alias("veracity"))
+    tables.create("boats", "id int, name string, length int")
+    tables.insert("boats", spark.sql("VALUES (3, 'Heron', 31)"))
+    tables.insert("boats", spark.sql("VALUES (5, 'Otter', 18)"), v=0.9)
+    return tables.read("boats").select("id", "name", "length", F.round(F.col(p.VERACITY).cast("double"), 6).alias("veracity"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, 0.75::DOUBLE AS veracity FROM lineitem WHERE l_quantity > 40")
@@ -324,6 +324,93 @@ def ddl_catalog(t):
     return spark.createDataFrame([(n, ",".join(tables.schema(n).names), by_table.get(n)) for n in tables.names()], "name string, columns string, index_name string")
 
 
+# ---- statements of the dialect
+
+
+def _engine(t) -> Engine:
+    spark = t("region").sparkSession
+    return Engine(spark, scratch(spark))
+
+
+@query("SELECT * FROM (VALUES (7, 'Lyon', 0.5::DOUBLE, 1.0::DOUBLE), (8, 'Graz', NULL, 1.0::DOUBLE), (9, 'Faro', 2.5::DOUBLE, 0.4::DOUBLE)) AS v(code, town, height, veracity)")
+def sql_create_insert(t):
+    db = _engine(t)
+    db.sql("CREATE TABLE towns (code INT, town VARCHAR(20), height DOUBLE)")
+    db.sql("INSERT INTO towns VALUES (7, 'Lyon', 0.5)")
+    db.sql("INSERT INTO towns (town, code) VALUES ('Graz', 8)")
+    db.sql("INSERT INTO towns VALUES (9, 'Faro', 2.5) VERACITY 0.4")
+    return db.sql("SELECT code, town, height, round(CAST(__veracity__ AS DOUBLE), 6) AS veracity FROM towns")
+
+
+def _orders(t) -> Engine:
+    """An engine with some of the orders, those of the second half less certain."""
+    db = _engine(t)
+    rows = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    db.tables.create("purchases", rows.schema)
+    db.tables.insert("purchases", rows, v=F.when(F.col("o_orderkey") % 4 < 2, 1.0).otherwise(0.25))
+    return db
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def sql_select_star(t):
+    return _orders(t).sql("SELECT * FROM purchases WHERE o_orderstatus = 'F'")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 4 < 2 AND o_totalprice > 1000")
+def sql_veracity(t):
+    return _orders(t).sql("SELECT o_orderkey FROM purchases WHERE __veracity__ > 0.5 AND o_totalprice > 1000")
+
+
+@query("SELECT o_orderstatus, round(avg(o_totalprice), 4) AS price, min(CASE WHEN o_orderkey % 4 < 2 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END) AS veracity FROM orders GROUP BY o_orderstatus")
+def sql_group_by(t):
+    return _orders(t).sql("SELECT o_orderstatus, round(avg(o_totalprice), 4) AS price, CAST(min(__veracity__) AS DOUBLE) AS veracity FROM purchases GROUP BY o_orderstatus")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT (o_orderstatus = 'F' OR o_orderkey % 4 >= 2)")
+def sql_delete(t):
+    db = _orders(t)
+    db.sql("DELETE FROM purchases WHERE o_orderstatus = 'F'")
+    db.execute("DELETE FROM purchases WHERE __veracity__ < 0.5")
+    return db.sql("SELECT o_orderkey, o_custkey FROM purchases")
+
+
+@query("SELECT * FROM (VALUES ('now', 'colour', 'dark blue', 3), ('then', 'colour', 'red', 1), ('field', 'size', '4', 2)) AS v(asked, key, value, seq)")
+def sql_commands(t):
+    db = _engine(t)
+    for line in ("PUT colour red", "PUT size '{\"w\": 4}'", "PUT colour 'dark blue'", "PUT gone 1", "DEL gone"):
+        db.execute(line)
+    asked = {"now": "GET colour", "then": "GET colour AS OF 1", "field": "GET size w", "gone": "GET gone"}
+    answers = [db.execute(line).select(F.lit(name).alias("asked"), "key", "value", F.col("seq").cast("int").alias("seq")) for name, line in asked.items()]
+    return functools.reduce(DataFrame.unionByName, answers)
+
+
+# ---- joins and set operations, which Spark has
+
+
+@query("SELECT n_name, r_name, s_suppkey FROM nation JOIN region ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey")
+def join_inner(t):
+    return t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).join(t("supplier"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", "r_name", "s_suppkey")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 2000) ON o_custkey = c_custkey")
+def join_left(t):
+    return t("customer").join(t("orders").where("o_totalprice > 2000"), F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS buys FROM customer")
+def join_semi_anti(t):
+    customer, on = t("customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey")
+    return customer.join(t("orders"), on, "left_semi").withColumn("buys", F.lit(True)).unionByName(customer.join(t("orders"), on, "left_anti").withColumn("buys", F.lit(False)))
+
+
+@query("SELECT 'union' AS part, k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) UNION ALL SELECT 'both', k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'less', k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier)")
+def set_operations(t):
+    key = lambda table, c: t(table).select(F.col(c).alias("k"))
+    a, b = key("customer", "c_nationkey"), key("supplier", "s_nationkey")
+    parts = {"union": a.union(b).distinct(), "both": a.intersect(b), "less": key("customer", "c_custkey").subtract(key("supplier", "s_suppkey"))}
+    return functools.reduce(DataFrame.union, [df.select(F.lit(name).alias("part"), "k") for name, df in parts.items()])
+
+
 # ---- the key-value log
 
 
@@ -424,6 +511,28 @@ def stream_fold(t):
     return changelog.state(fold.state_at(spark, f"{base}/state", last))
 
 
+@query(f"SELECT key, value, seq FROM {_NEWEST} WHERE op = 'PUT'")
+def kv_reopen(t):
+    entries = log(t)
+    spark = entries.sparkSession
+    path = scratch(spark)
+    parts = [entries.where(f"seq <= {AS_OF}"), entries.where(f"seq > {AS_OF} AND seq <= {HORIZON}"), entries.where(f"seq > {HORIZON}")]
+    for n, part in enumerate(parts):
+        Engine(spark, path).log.append(part)
+        Engine(spark, path).execute("COMPACT" if n % 2 == 0 else "FLUSH")
+    return changelog.state(Engine(spark, path, create_if_missing=False).log.read())
+
+
+@query(f"SELECT key, seq, op, value FROM {_LOG} WHERE seq = {AS_OF}")
+def wal_corrupt(t):
+    entries = log(t)
+    stored = Log(entries.sparkSession, scratch(entries.sparkSession))
+    stored.append(entries.where(f"seq <> {AS_OF}"))
+    # an entry as it would be with a damaged checksum
+    stored._stored(entries.where(f"seq = {AS_OF}")).withColumn("crc", F.col("crc").bitwiseXOR(F.lit(1))).write.mode("append").parquet(stored.path)
+    return stored.corrupt()
+
+
 @query(f"SELECT key, seq, op, value FROM {_LOG} WHERE seq >= {MIN_SEQ}")
 def wal_retention(t):
     return changelog.retained(log(t), MIN_SEQ)

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -29,6 +29,14 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
     return spark
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows with the lineage cut, in the folder that driver and executors share (`spark.checkpoint.dir`)."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:  # only a session without the setting, as in a local test, gets a folder of its own
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
+    return df.checkpoint()
+
+
 #: Rows and bytes of a batch on its way to a Python worker. Documents are long, and a batch is held
 #: on both sides at once, so Spark's 10 000 rows would take much of a worker's memory.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}

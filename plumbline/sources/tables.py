@@ -11,34 +11,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.errors import AlreadyExists, InvalidArgument, NotFound
 from plumbline.operators import veracity
 from plumbline.operators.predicates import VERACITY
 
 
-class NotFound(LookupError):
-    pass
-
-
-class AlreadyExists(ValueError):
-    pass
-
-
-class InvalidArgument(ValueError):
-    pass
-
-
 class Tables:
-    """Tables and index descriptions under one folder."""
+    """Tables and index descriptions under one folder; both are there again for whoever opens it later."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self.indexes: dict[str, tuple[str, str]] = {}
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _inside(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
     def names(self) -> list[str]:
-        root = self._path(self.root)
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(root) if s.isDirectory()) if self._fs.exists(root) else []
+        return [n for n in self._inside(self.root) if not n.startswith("_")]
+
+    @property
+    def indexes(self) -> dict[str, tuple[str, str]]:
+        """(table, column) by index: each is a file of these two lines under `_indexes`."""
+        read = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString
+        out = {}
+        for name in self._inside(f"{self.root}/_indexes"):
+            if not name.startswith("."):
+                stream = self._fs.open(self._path(f"{self.root}/_indexes/{name}"))
+                table, column = read(stream, "UTF-8").split("\n")
+                stream.close()
+                out[name] = (table, column)
+        return out
 
     def exists(self, name: str) -> bool:
         return self._version(name) >= 0
@@ -77,7 +81,9 @@ class Tables:
         """Whether there was such a table; its indexes go with it."""
         if not self.exists(name):
             return False
-        self.indexes = {k: v for k, v in self.indexes.items() if v[0] != name}
+        for index, (table, _) in self.indexes.items():
+            if table == name:
+                self.drop_index(index)
         return bool(self._fs.delete(self._path(f"{self.root}/{name}"), True))
 
     def insert(self, name: str, rows: DataFrame, columns: tuple[str, ...] = (), v: Column | float = 1.0) -> int:
@@ -115,14 +121,16 @@ class Tables:
             raise AlreadyExists(f"index exists: {index}")
         if column not in self.schema(name).names:
             raise InvalidArgument(f"no such column: {column}")
-        self.indexes[index] = (name, column)
+        stream = self._fs.create(self._path(f"{self.root}/_indexes/{index}"), False)
+        stream.write(bytearray(f"{name}\n{column}".encode()))
+        stream.close()
 
     def drop_index(self, index: str) -> bool:
-        return self.indexes.pop(index, None) is not None
+        return bool(self._fs.delete(self._path(f"{self.root}/_indexes/{index}"), False))
 
     def cluster_by(self, index: str) -> None:
         """Rewrites a table in the order of an index's column, so that row groups can be skipped by it."""
-        if index not in self.indexes:
+        if (found := self.indexes.get(index)) is None:
             raise NotFound(f"index not found: {index}")
-        name, column = self.indexes[index]
+        name, column = found
         self.read(name).repartitionByRange(column).sortWithinPartitions(column).write.parquet(self._folder(name, ahead=1))

@@ -1,5 +1,7 @@
 """Every query against its SQL."""
 
+import zlib
+
 import pytest
 
 import __spark_entry__ as entry
@@ -17,6 +19,12 @@ def test_queries_without_sql_run(spark):
         assert engine.QUERIES[name](spark, SMALL).count() > 0
 
 
+def test_checksums(spark):
+    names = {r.p_partkey: r.p_name for r in spark.read.parquet(f"{SMALL}/part.parquet").collect()}
+    assert {r.p_partkey: r.crc for r in engine.QUERIES["crc32"](spark, SMALL).collect()} == {k: zlib.crc32(n.encode()) for k, n in names.items()}
+    assert spark.sql("SELECT crc32('123456789')").first()[0] == 3421780262
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and all(r.score >= 0.85 for r in rows)
