@@ -7,7 +7,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,7 +361,50 @@ def test_edited_pictures_are_found(spark):
     right = {x.id: x.class_id for x in answers.collect()}
     assert all(v == k - 1000 for k, v in right.items()) and len(right) >= 18
     assert media.find_copies(table.where("false"))[0].count() == 0
-    assert pa.array([len(media.describe(media.decode_pgm(images[0])))])[0].as_py() > 10
+    assert len(media.describe(media.decode_pgm(images[0]))) > 10
+
+
+def recall(images, change):
+    """Of images changed one by one, the share that at least MIN_MATCHES descriptors of its own picture and fewer of the next one meet."""
+    own = [media.describe(media.decode_pgm(i)) for i in images]
+
+    def votes(a, b):
+        bits = lambda d: np.unpackbits(np.asarray([x[4:] for x in d], np.int64).view(np.uint8), axis=1)
+        near = (bits(a)[:, None] != bits(b)[None]).sum(axis=2) <= media.MAX_BITS
+        return int(near.any(axis=1).sum())
+
+    new = [media.describe(np.clip(change(media.decode_pgm(i)), 0, 255)) for i in images]
+    return np.mean([votes(n, o) >= media.MIN_MATCHES for n, o in zip(new, own)]), np.mean([votes(n, o) >= media.MIN_MATCHES for n, o in zip(new, own[1:])])
+
+
+def test_resized_turned_and_cropped_copies_share_descriptors():  # the README has the figures of other sizes and angles
+    r = np.random.default_rng(9)
+    images = [media.picture(r.normal(size=64).tolist()) for _ in range(40)]
+    for change in (lambda p: media._resized(p, 77, 77), lambda p: media._resized(p, 120, 120), lambda p: np.rot90(p), lambda p: p[10:90, 5:85] * 0.9):
+        found, wrong = recall(images, change)
+        assert found >= 0.9 and wrong == 0, (found, wrong)
+
+
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_recall_of_classes_and_answers(spark, monkeypatch, rows):
+    monkeypatch.setattr(media, "BROADCAST_ROWS", rows)
+    r = np.random.default_rng(21)
+    images = [media.picture(r.normal(size=64).tolist()) for _ in range(60)]
+    table = spark.createDataFrame([(2**62 + k, i) for k, i in enumerate(images)] + [(-(2**63) + k, media.edited(images[k], 50 * k)) for k in range(60)], "id long, image binary")
+    classes, answers = media.find_copies(table, spark.createDataFrame([(k, media.edited(images[k], 50 * (k + 1))) for k in range(60)], "id long, image binary"))
+    found = {x.id: x.class_id for x in classes.collect()}
+    assert np.mean([found[2**62 + k] == -(2**63) + k for k in range(60)]) >= 0.9
+    assert all(c in (k, -(2**63) + k - 2**62) for k, c in found.items() if k > 0)
+    got = {x.id: x.class_id for x in answers.collect()}
+    assert np.mean([got.get(k) in (-(2**63) + k, 2**62 + k) for k in range(60)]) >= 0.9
+
+
+def described(images):
+    """Rows of `media.descriptors` for {id: [(x, y, d1, d2)]}."""
+    return [(((n << media._CORNER_BITS) + k), n, float(x), float(y), 0, 0.0, int(d1), int(d2)) for n, corners in images.items() for k, (x, y, d1, d2) in enumerate(corners)]
+
+
+DESCRIBED = "ref long, id long, x float, y float, level int, turn float, d1 long, d2 long"
 
 
 @pytest.mark.parametrize("unit", [1, 1024])
@@ -372,8 +414,7 @@ def test_copies_meet_behind_a_lower_id(spark, monkeypatch, unit):
     far = lambda: r.uniform(0, 4000, (10, 2))
     # the same descriptors, scattered in 1, 5 and 8; 2, 3 and 9, and 4 and 6 of others, are copies
     images = {1: (0, far()), 2: (0, at[0]), 3: (0, at[0] + 50), 4: (1, at[1]), 5: (0, far()), 6: (1, at[1] - 9), 8: (1, far()), 9: (0, at[0] + 90)}
-    rows = [(n * media._ROOM + k, *map(float, xy[k]), 0.0, *map(int, halves[d][k])) for n, (d, xy) in images.items() for k in range(10)]
-    held = spark.createDataFrame(rows, "ref long, x float, y float, turn float, d1 long, d2 long")
+    held = spark.createDataFrame(described({n: [(*xy[k], *halves[d][k]) for k in range(10)] for n, (d, xy) in images.items()}), DESCRIBED)
     monkeypatch.setattr(media, "descriptors", lambda _: held)
     monkeypatch.setattr(media, "UNIT_ROWS", unit)
     table = spark.createDataFrame([(n, b"%d" % n) for n in images], "id long, image binary")
@@ -386,8 +427,7 @@ def test_matches_of_both_rounds_count_together(spark, monkeypatch):
     halves, at = r.integers(-(2**62), 2**62, (6, 2)), r.uniform(20, 200, (6, 2))
     # 1 stands before 2 and 3 in the buckets of three descriptors; in those of the others 2 leads
     images = {1: (range(3), r.uniform(0, 4000, (6, 2))), 2: (range(6), at), 3: (range(6), at + 50)}
-    rows = [(n * media._ROOM + k, *map(float, xy[k]), 0.0, *map(int, halves[k])) for n, (ks, xy) in images.items() for k in ks]
-    held = spark.createDataFrame(rows, "ref long, x float, y float, turn float, d1 long, d2 long")
+    held = spark.createDataFrame(described({n: [(*xy[k], *halves[k]) for k in ks] for n, (ks, xy) in images.items()}), DESCRIBED)
     monkeypatch.setattr(media, "descriptors", lambda _: held)
     table = spark.createDataFrame([(n, b"%d" % n) for n in images], "id long, image binary")
     assert {x.id: x.class_id for x in media.find_copies(table)[0].collect()} == {1: 1, 2: 2, 3: 2}
