@@ -5,12 +5,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.session import ship
 
@@ -72,6 +73,21 @@ def repeatable(df: DataFrame) -> DataFrame:
     return checkpointed(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
 
 
+def mapped(docs: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *added: T.StructField) -> DataFrame:
+    """`docs` after `work` on its Arrow batches, which appends the columns `added`; names of columns may be any.
+
+    `work` sees the columns under numbers, as Spark would read a name with a dot as a field of another column.
+    """
+    plain = docs.toDF(*(f"_{k}" for k in range(len(docs.columns))))
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(f"_{f.name}", f.dataType) for f in added)])
+    return plain.mapInArrow(work, schema).toDF(*docs.columns, *(f.name for f in added))
+
+
+def extended(batch: pa.RecordBatch, *columns: pa.Array) -> pa.RecordBatch:
+    """A batch with more columns, for `mapped`."""
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *(f"+{k}" for k in range(len(columns)))])
+
+
 def bounded_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """At most `n` rows of `df`, chosen by a hash of `keys`, so the same rows each time.
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import checkpointed, repeatable, shared_folder, table
 from plumbline.llm.components import components
@@ -351,7 +352,7 @@ def _signed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed, pa.string())], names=["row", "doc_id", "sig"])
 
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
-    return rows.mapInArrow(sign, "row " + rows.schema["row"].dataType.simpleString() + ", doc_id " + rows.schema["doc_id"].dataType.simpleString() + ", sig string")
+    return rows.mapInArrow(sign, T.StructType([rows.schema["row"], rows.schema["doc_id"], T.StructField("sig", T.StringType())]))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -16,8 +16,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import checkpointed, fold_of, release, table
+from plumbline.llm.common import checkpointed, extended, fold_of, mapped, release, table
 
 NGRAMS = (1, 2, 3)
 BITS = 14
@@ -148,16 +149,15 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
     added = ["lang_pred", "lang_score", "lang_rejected"]
     docs = docs.drop(*added)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, lang_score double, lang_rejected boolean"
+    at = docs.columns.index("text")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            new = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
+            found = [model.predict(t) for t in batch.column(at).to_pylist()]
+            yield extended(batch, *(pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))))
         release()
 
-    return docs.mapInArrow(judged, schema)
+    return mapped(docs, judged, *(T.StructField(name, kind) for name, kind in zip(added, (T.StringType(), T.DoubleType(), T.BooleanType()))))
 
 
 def op8_langid(spark, sf_dir):

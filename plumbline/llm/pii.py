@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import release, slices, table
+from plumbline.llm.common import mapped, release, slices, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -453,7 +453,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
         release()
 
-    return docs.mapInArrow(masked, docs.schema)
+    return mapped(docs, masked)
 
 
 def op2_pii(spark, sf_dir):

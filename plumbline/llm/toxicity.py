@@ -18,8 +18,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import bounded_sample, fold_of, release, table
+from plumbline.llm.common import bounded_sample, extended, fold_of, mapped, release, table
 
 NGRAMS = (4, 5, 6)
 BITS = 20
@@ -170,21 +171,25 @@ def score(docs: DataFrame, model: ToxicityModel, column: str = "toxicity") -> Da
     itself. An existing column of that name is replaced.
     """
     docs = docs.drop(column)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{column}` double"
+    return _scored(docs, model).toDF(*docs.columns, column)
+
+
+def _scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """`docs` with the score as its last column, of some name."""
+    at = docs.columns.index("text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            out = pa.array([model.score(t.as_py()) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, column])
+            yield extended(batch, pa.array([model.score(t.as_py()) for t in batch.column(at)], pa.float64()))
         release()
 
-    return docs.mapInArrow(scored, schema)
+    return mapped(docs, scored, T.StructField("score", T.DoubleType()))
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The documents scored below THRESHOLD, with their own columns only."""
-    return score(docs, model, "__toxicity").where(F.col("__toxicity") < THRESHOLD).drop("__toxicity")
+    numbers = [str(k) for k in range(len(docs.columns))]
+    return _scored(docs, model).toDF(*numbers, "score").where(F.col("score") < THRESHOLD).drop("score").toDF(*docs.columns)
 
 
 def op6_toxicity(spark, sf_dir):

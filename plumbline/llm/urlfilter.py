@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import bounded_sample, table
+from plumbline.llm.common import bounded_sample, extended, mapped, table
 
 #: (host, path, verdict), as the rules of the query are given.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -187,18 +188,17 @@ def judge(pages: DataFrame, model: UrlModel, rules=RULES) -> DataFrame:
     """
     added = ["host", "path", "rule", "block_probability", "verdict"]
     pages = pages.drop(*added)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + ", block_probability double"
+    at = pages.columns.index("url")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            urls = batch.column(batch.schema.get_field_index("url")).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.block_probability(urls))], names=[*batch.schema.names, "block_probability"])
+            yield extended(batch, pa.array(model.block_probability(batch.column(at).to_pylist())))
 
     host, path = with_host_and_path(F.col("url"))
-    out = pages.mapInArrow(scored, schema).withColumns({"host": host, "path": path})
+    out = mapped(pages, scored, T.StructField("block_probability", T.DoubleType())).withColumns({"host": host, "path": path})
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     by_model = F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow")
-    return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, by_model)}).select(*pages.columns, *added)
+    return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, by_model)}).select(*(F.col(f"`{c}`") for c in pages.columns), *added)
 
 
 def op1_urlfilter(spark, sf_dir):
