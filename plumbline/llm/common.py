@@ -59,6 +59,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate files that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows with the lineage cut, kept in the shared folder."""
     shared_folder(df.sparkSession)

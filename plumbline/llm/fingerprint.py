@@ -71,16 +71,19 @@ def with_next(docs: DataFrame) -> DataFrame:
     count, without, cuts = rows.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", share(QUANTILES), 10_000)).first()
     cuts = sorted(set(cuts or [0]))
     above = lambda bounds, value: F.greatest(F.lit(1), F.size(F.filter(bounds, lambda b: b <= value)))
-    outer = above(F.array(*(F.lit(x).cast("long") for x in cuts)), F.col("doc_id"))
     inner = max(1, min(INNER_QUANTILES, -(-count // (len(cuts) * STRETCH))))
     parts = max(1, -(-count // (len(cuts) * inner * STRETCH)))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").select("doc_id", outer.alias("outer"))
-    bounds = ids.groupBy("outer").agg(F.array_sort(F.array_distinct(F.percentile_approx("doc_id", share(inner), 1_000))).alias("bounds"))  # QUANTILES + 1 rows at most
-    rows = rows.withColumn("outer", F.when(F.col("doc_id").isNotNull(), outer)).join(F.broadcast(checkpointed(bounds)), "outer", "left")
-    wide = lambda value: value.cast("double")  # noqa: E731  ids may lie further apart than a long reaches
-    at = above(F.col("bounds"), F.col("doc_id"))
+    every = F.array(*(F.lit(x).cast("long") for x in cuts))
+    outer = above(every, F.col("doc_id"))
+    # how far an id is above its outer quantile, as a double: exact unless that is very far; the difference may pass a long
+    cut, wide = F.element_at(every, outer), lambda value: value.cast("double")
+    offset = F.coalesce(wide(F.try_subtract("doc_id", cut)), wide(F.col("doc_id")) - wide(cut))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").select(outer.alias("outer"), offset.alias("offset"))
+    bounds = ids.groupBy("outer").agg(F.array_sort(F.array_distinct(F.percentile_approx("offset", share(inner), 1_000))).alias("bounds"))  # QUANTILES + 1 rows at most
+    rows = rows.withColumns({"outer": F.when(F.col("doc_id").isNotNull(), outer), "offset": offset}).join(F.broadcast(checkpointed(bounds)), "outer", "left")
+    at = above(F.col("bounds"), F.col("offset"))
     low, high = F.get("bounds", at - 1), F.coalesce(F.get("bounds", at), F.get("bounds", at - 1))
-    inside = F.floor((wide(F.col("doc_id")) - wide(low)) / F.greatest(F.lit(1.0), wide(high) - wide(low)) * parts)
+    inside = F.floor((F.col("offset") - low) / F.greatest(F.lit(1.0), high - low) * parts)
     inside = F.greatest(F.lit(0), F.least(F.lit(parts - 1), inside))
     cell = (F.col("outer").cast("long") * (inner + 2) + at) * parts + inside
     lost, place = max(1, -(-without // STRETCH)), F.xxhash64("text")  # stretches of the rows without an id, below all others

@@ -1,11 +1,16 @@
-"""Counts of word n-grams over a whole corpus, brought back to the documents that hold them.
-
-Documents are read in chunks of bounded size. Each chunk sends its distinct n-gram hashes, with its own
-counts, to hash partitions; a partition adds up what all chunks sent and returns to each chunk the totals
-of the hashes it asked for, in the order it asked. A chunk's documents travel beside as one compressed
-row and meet the totals again by the chunk's name. So each distinct n-gram of a chunk crosses the network
-once however often it occurs, and one that every document holds costs no partition more than a row a
-chunk. Hashes go out as sorted differences of five bytes or so, counts in as few bytes as they fit.
+"""Counts of word n-grams over a whole corpus, joined back to the documents that hold them.
+
+The steps are relational, on columns of n-grams instead of rows. Documents are read in chunks of bounded
+size. Each chunk explodes into its distinct n-gram hashes, with its own counts, and deals them to hash
+partitions; a partition builds the count table of its range of hashes from what all chunks sent, joins it
+to each chunk's hashes and returns the totals in the order they were asked for. A chunk's documents travel
+beside as one compressed row and meet the totals again by the chunk's name. So each distinct n-gram of a
+chunk crosses the network once however often it occurs, and one that every document holds costs no
+partition more than a row a chunk. Hashes go out as sorted differences of five bytes or so, counts in as few
+bytes as they fit: as rows of Spark the same n-grams would take several times the disk that the input does.
+
+A chunk sends a row to each partition that it has n-grams for. Both numbers grow with the input, but there
+are never more such rows than n-grams.
 """
 
 from __future__ import annotations
@@ -198,19 +203,16 @@ def with_corpus_counts(docs: DataFrame, grams: Grams, finish: Callable[[pa.Array
 
     def answer(rows: pa.Table) -> pa.Table:
         keys = [decode_keys(k) for k in rows.column("keys").to_pylist()]
-        sizes = [len(k) for k in keys]
-        every = np.concatenate(keys)
-        del keys
         counts = np.concatenate([decode_counts(c) for c in rows.column("counts").to_pylist()])
+        # the partition's count table, and its join to the hashes of each chunk
+        every = np.concatenate(keys)
         order = np.argsort(every, kind="stable")
-        every = every[order]
-        run = np.cumsum(np.concatenate([[False], every[1:] != every[:-1]]))
-        totals = np.empty(len(every), np.int64)
-        totals[order] = np.bincount(run, weights=counts[order]).astype(np.int64)[run]
-        ends = np.cumsum(sizes)
-        out = [encode_counts(totals[b - n : b]) for b, n in zip(ends, sizes)]
+        first = np.flatnonzero(np.diff(every[order], prepend=~every[order][:1]))
+        known, totals = every[order][first], np.add.reduceat(counts[order], first)
+        del every, counts, order, first
+        out = [encode_counts(totals[np.searchsorted(known, k)]) for k in keys]
         answered = pa.table({"part": rows.column("part"), "chunk": rows.column("chunk"), "totals": pa.array(out, pa.binary())})
-        del every, counts, order, run, totals, out
+        del keys, known, totals, out
         release()
         return answered
 

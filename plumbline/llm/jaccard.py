@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import checkpointed, repeatable, shared_folder, table
+from plumbline.llm.common import checkpointed, deleted, repeatable, shared_folder, table
 from plumbline.llm.components import components
 from plumbline.llm.grams import BITS, Words, check_totals, gram_hashes, with_corpus_counts
 
@@ -317,7 +317,9 @@ def _labelled(docs: DataFrame) -> DataFrame:
     made = spark.read.schema(made.schema).parquet(path)
     groups = link_sets(made.where("is_set").select("sig", "n", "tokens", "places", "shingles"))
     rows = made.where("not is_set").select("doc_id", "n", "sig")
-    return rows.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "n", "sig", F.coalesce("component", "sig").alias("component"))
+    out = checkpointed(rows.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "n", "sig", F.coalesce("component", "sig").alias("component")))
+    deleted(spark, path)
+    return out
 
 
 def linked_groups(docs: DataFrame) -> DataFrame:
@@ -327,7 +329,7 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     text, or one without words, has no shingles and links with nothing. Rows of equal doc_id are
     documents of their own that share a name. A text may be as long as a row may be.
     """
-    rows = checkpointed(_labelled(docs))
+    rows = _labelled(docs)
     least = checkpointed(rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return rows.where("n > 0").join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
@@ -361,7 +363,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without words all stay. Of rows of one doc_id and one set of shingles, any one may stay.
     """
     docs, columns = repeatable(docs), [F.col(f"`{c}`") for c in docs.columns]
-    rows = checkpointed(_labelled(docs))
+    rows = _labelled(docs)
     twice = _few(rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), F.col("doc_id").alias("id"), F.col("sig").alias("first_sig")))
     least = checkpointed(rows.where("n > 0").groupBy("component").agg(first.alias("first")).select("component", "first.*"))

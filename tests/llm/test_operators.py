@@ -201,6 +201,29 @@ def test_schedule_keeps_every_source_within_a_block(spark):
         assert all(abs(seen[s] - (slot + 1) * share[s] / 1000) < 1 for s in sizes)
 
 
+@pytest.mark.parametrize("weights", [None, "given"])
+def test_any_number_of_sources_and_small_weights(spark, weights):
+    docs = spark.range(501 * 3).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 501).alias("source"))
+    given = {f"s{n}": 1e-5 if n < 10 else 0.0 if n == 500 else (1 - 1e-4) / 490 for n in range(501)} if weights else None
+    rows = mixing.schedule(docs, {k: round(v, 9) for k, v in given.items()} if given else None).collect()
+    assert len({r.position for r in rows}) == 501 * 3
+    assert all(r.release <= r.slot < r.deadline for r in rows if r.release is not None)
+    if given:
+        assert {r.source for r in rows if r.release is None} == {"s500"}
+        assert min(r.slot for r in rows if r.source == "s500") > max(r.slot for r in rows if r.source != "s500")
+
+
+def test_shares_stay_exact_over_many_periods(spark):
+    docs = spark.range(40000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 8 < 5, "a").when(F.col("id") % 8 < 7, "b").otherwise("c").alias("source"))
+    share = {"a": 0.61803, "b": 0.267949, "c": 0.114021}
+    who = {r.slot: r.source for r in mixing.schedule(docs, share).collect()}
+    last = min(max(s for s, w in who.items() if w == x) for x in share)
+    seen = Counter()
+    for slot in range(last):
+        seen[who.get(slot)] += 1
+        assert all(abs(seen[x] - (slot + 1) * w) < 1 + 1e-9 for x, w in share.items())
+
+
 def test_mix_keeps_rows_and_columns(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     mixed = mixing.mix(docs)
@@ -238,9 +261,69 @@ def test_language_is_held_out_accurate(spark):
     assert langid.identify(odd(spark), langid.fit([], [])).where("lang_pred <> 'und'").count() == 0
 
 
+def test_every_language_and_long_texts_are_learned(spark):
+    rows = [(k, " ".join(f"{chr(97 + k % 201 % 26)}{chr(97 + k % 201 // 26)}{c}" for c in "xyzw" * (3 if k % 201 else 9000)), f"l{k % 201}") for k in range(201 * 6)]
+    docs = spark.createDataFrame([*rows, *((10**6 + k, "words", None) for k in range(50))], "doc_id long, text string, lang string")
+    model = langid.fit_frames(docs)
+    assert model.names == sorted({lang for k, _, lang in rows if zlib.crc32(str(k).encode()) % 3 != 1}) and len(model.names) >= 200
+    held = [(t, lang) for k, t, lang in rows if zlib.crc32(str(k).encode()) % 3 == 1 and lang in model.names]
+    assert sum(model.predict(t)[0] == lang for t, lang in held) >= 0.95 * len(held)
+
+
+def test_language_against_a_plain_reading():
+    texts, langs = ["ab ab cd", "ab abc", "xy xyz zz", "xy xy yz"], ["a", "a", "b", "b"]
+    model = langid.fit(texts, langs)
+    n = 1 << langid.BITS
+
+    def vector(text):
+        out = np.zeros(n)
+        seen, k = langid.counts(text)
+        out[seen] = (1 + np.log(k)) * model.idf[seen]
+        return out / np.linalg.norm(out)
+
+    assert (model.idf == [np.log(5 / (1 + sum(f in langid.counts(t)[0] for t in texts))) + 1 for f in range(n)]).all()
+    for text in ("ab", "xyz ab", "zz"):
+        cosine = [float(vector(text) @ c) for c in model.centroids]
+        assert model.predict(text)[:2] == (model.names[model.language[int(np.argmax(cosine))]], pytest.approx(max(cosine), abs=1e-6))
+
+
+def test_toxicity_against_a_plain_reading(monkeypatch):
+    monkeypatch.setattr(toxicity, "MIN_DOCUMENTS", 1)
+    monkeypatch.setattr(toxicity, "MIN_RATIO", 0.5)
+    texts, toxic = ["vile vile words", "vile thing", "kind words", "good thing", "fine day"], [1, 1, 0, 0, 0]
+    model = toxicity.fit(texts, toxic)
+    of = [set(toxicity.unpacked(toxicity.packed(t)).tolist()) for t in texts]
+    for at, f in enumerate(model.feature.tolist()):
+        bad, good = sum(f in o for o, y in zip(of, toxic) if y), sum(f in o for o, y in zip(of, toxic) if not y)
+        assert model.ratio[at] == pytest.approx(np.log((bad + 1) / 4) - np.log((good + 1) / 5), abs=1e-5) and abs(model.ratio[at]) >= 0.5
+    for text in (*texts, "", None, "vile " * 50_000):
+        at = [k for k, f in enumerate(model.feature.tolist()) if f in set(toxicity._grams(text).tolist())]
+        length = np.sqrt(sum(float(model.ratio[k]) ** 2 for k in at))
+        z = model.bias + (sum(float(model.weight[k]) for k in at) / length if at else 0)
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+    assert [model.score(t) > 0.5 for t in texts] == [True, True, False, False, False]
+
+
 # ---- fingerprints
 
 
+def test_case_is_folded_and_stretches_are_even(spark, monkeypatch):
+    rows = [(1, "STRASSE  one"), (2, "straße one"), (3, "ΟΔΟΣ"), (4, "οδοσ"), (5, "οδος"), (6, "ﬁ É"), (7, "FI e\u0301"), (8, "İ"), (9, "i̇")]
+    out = {r.doc_id: r.class_id for r in fingerprint.fingerprints(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 6, 7: 6, 8: 8, 9: 8}
+    monkeypatch.setattr(fingerprint, "STRETCH", 8)
+    monkeypatch.setattr(fingerprint, "QUANTILES", 8)
+    # two dense clusters far apart; and rows without an id
+    ids = [*range(500), *range(2**62, 2**62 + 500), *[None] * 300]
+    docs = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], DOCS)
+    seen, real = [], type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, *a: (seen.append(self), real(self, *a))[1])
+    assert fingerprint.with_next(docs).count() == len(ids)
+    sizes = [r["count"] for r in seen[0].groupBy("stretch").count().collect()]
+    assert max(sizes) <= 4 * 8 and len(sizes) >= len(ids) / 16
+
+
+
 def test_fingerprints_against_plain_reading(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, None), (10**6 + 5, "ab"), (2 * 10**6, "AB "), (5 * 10**9, "a  b"), (5 * 10**9 + 1, "A b")], DOCS))
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
