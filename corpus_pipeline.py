@@ -73,12 +73,17 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, over the whole of `documents` in `sf_dir`.
 
     Each stage's rows are written as Parquet to the folder that driver and executors share, and read
-    again, so a lost executor costs no more than the stage at hand.
+    again, so a lost executor costs no more than the stage at hand; a stage's files go once the next one's
+    are written.
     """
     docs = common.table(spark, sf_dir, "documents")
     folder = posixpath.join(common.shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
+    done = None
     for name, stage in STAGES:
         path = posixpath.join(folder, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if done:
+            common.deleted(spark, done)
+        done = path
     return docs
