@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, path: str | None = None, place: str | None = None) -
     Texts are encoded whole. Only lengths and checksums leave the task. _deal is the long column `place` if
     named, else a hash of the piece's place in its task, so neither rows of one id nor equal rows meet.
     """
-    docs = repeatable(docs)
+    docs = docs if place else repeatable(docs)  # with `place`, what a piece is dealt by does not hang on the order
     path = path or _vocabulary_path()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, _deal long"
     end = np.asarray([END_ID], dtype="<u4")
