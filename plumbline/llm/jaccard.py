@@ -279,14 +279,13 @@ def _second_round(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def link_sets(sets: DataFrame) -> DataFrame:
-    """(node, component) of the signatures that link with another, from (sig, n, tokens, places, shingles).
+    """(node, component) of the signatures that link with another, from distinct (sig, n, tokens, places, shingles).
 
     No block gives all its pairs. A first round compares each set with one leader of its blocks, the set
     with the most shared shingles in its prefix, which in a family of near copies is the one with the
     fewest edits. A second round compares what the first leaves in different components, inside the
     clusters of sets that blocks hold together.
     """
-    sets = checkpointed(sets.dropDuplicates(["sig"]))
     level = F.floor(F.log(_BLOCK, F.col("n").cast("double"))).cast("int")
     listed = sets.select("sig", "n", level.alias("level"), F.size("tokens").alias("k"), F.explode(F.arrays_zip("tokens", "places")).alias("p"))
     listed = listed.select("sig", "n", "k", F.col("p.tokens").alias("token"), _reach(F.col("n"), F.col("p.places")).alias("reach"), F.explode(F.array(F.col("level"), F.col("level") + 1)).alias("block"))
@@ -315,11 +314,11 @@ def _labelled(docs: DataFrame) -> DataFrame:
     path = posixpath.join(shared_folder(spark), f"jaccard-{uuid.uuid4().hex}")
     made.write.parquet(path)
     made = spark.read.schema(made.schema).parquet(path)
-    groups = link_sets(made.where("is_set").select("sig", "n", "tokens", "places", "shingles"))
-    rows = made.where("not is_set").select("doc_id", "n", "sig")
-    out = checkpointed(rows.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "n", "sig", F.coalesce("component", "sig").alias("component")))
+    sets = checkpointed(made.where("is_set").select("sig", "n", "tokens", "places", "shingles").dropDuplicates(["sig"]))
+    rows = checkpointed(made.where("not is_set").select("doc_id", "n", "sig"))
     deleted(spark, path)
-    return out
+    groups = link_sets(sets)
+    return checkpointed(rows.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "n", "sig", F.coalesce("component", "sig").alias("component")))
 
 
 def linked_groups(docs: DataFrame) -> DataFrame:
