@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -65,6 +66,15 @@ def deleted(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files of plans that nothing holds any more.
+
+    Its cleaner goes by the driver's garbage collection, which a large step may end long before.
+    """
+    gc.collect()  # Python's handles of plans
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows with the lineage cut, kept in the shared folder."""
     shared_folder(df.sparkSession)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import checkpointed, deleted, repeatable, shared_folder, table
+from plumbline.llm.common import checkpointed, deleted, repeatable, shared_folder, swept, table
 from plumbline.llm.components import components
 from plumbline.llm.grams import BITS, Words, check_totals, gram_hashes, with_corpus_counts
 
@@ -314,9 +314,11 @@ def _labelled(docs: DataFrame) -> DataFrame:
     path = posixpath.join(shared_folder(spark), f"jaccard-{uuid.uuid4().hex}")
     made.write.parquet(path)
     made = spark.read.schema(made.schema).parquet(path)
+    swept(spark)  # the counts' shuffles are twice the input
     sets = checkpointed(made.where("is_set").select("sig", "n", "tokens", "places", "shingles").dropDuplicates(["sig"]))
     rows = checkpointed(made.where("not is_set").select("doc_id", "n", "sig"))
     deleted(spark, path)
+    swept(spark)
     groups = link_sets(sets)
     return checkpointed(rows.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "n", "sig", F.coalesce("component", "sig").alias("component")))
 
